@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import chat, exact_dedup, mixing, packing, simhash, tokens
+from credsieve.llm import chat, exact_dedup, mixing, packing, quality, simhash, tokens, toxicity
 
 #: Where the public tokenizer files are; a parameter of every operator that needs one.
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,6 +31,13 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024, end=2)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    machine = quality.fit(docs, labels, learn=quality.fold("doc_id", 4) != 2, sample=6000)
+    found = quality.scores(docs, machine, threshold=0.7)
+    return found.select("doc_id", (quality.fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
 
@@ -50,13 +57,22 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, learn=toxicity.fold("doc_id", 3) != 1, sample=3000)
+    found = toxicity.scores(docs, model, threshold=0.7)
+    return found.select("doc_id", (toxicity.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pattern_packing": op2_pattern_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_source_mixing": op4_source_mixing,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_counts": op6_token_counts,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
