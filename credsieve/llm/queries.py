@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import chat, exact_dedup, mixing, packing, quality, simhash, tokens, toxicity
+from credsieve.llm import chat, exact_dedup, minhash, mixing, packing, quality, simhash, tokens, toxicity
 
 #: Where the public tokenizer files are; a parameter of every operator that needs one.
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_counts": op6_token_counts,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
