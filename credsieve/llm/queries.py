@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import chat, exact_dedup, minhash, mixing, packing, quality, simhash, tokens, toxicity
+from credsieve.llm import chat, exact_dedup, line_dedup, minhash, mixing, packing, quality, simhash, tokens, toxicity
 
 #: Where the public tokenizer files are; a parameter of every operator that needs one.
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,6 +61,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_repeated_lines(_table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("left_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, learn=toxicity.fold("doc_id", 3) != 1, sample=3000)
@@ -77,6 +82,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
