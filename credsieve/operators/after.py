@@ -24,13 +24,13 @@ def first_of_fingerprint(found: DataFrame, unit: str = "unit_id", order: str = "
 def collapsed(found: DataFrame) -> DataFrame:
     """Runs of a rule's findings on near lines of key material become their first, with their number.
 
-    One shuffle by file and rule; whether a file holds armor is a flag per file, joined back.
+    One shuffle, by file: windows by file, rule and run all find their rows together then.
     """
     armored = matches(F.col("line_text"), V.ARMOR) | matches(F.col("context"), V.ARMOR)
-    flags = found.groupBy("file").agg(F.max(armored).alias("__armored"))
+    armored = F.max(armored).over(Window.partitionBy("file"))
     order = Window.partitionBy("file", "rule_id").orderBy("line", "ord")
     gap = F.coalesce((F.col("line") - F.lag("line").over(order) > WIDEST_GAP).cast("int"), F.lit(1))
-    rows = found.join(flags, "file").withColumn("__gap", gap)
+    rows = found.withColumn("__armored", armored).withColumn("__gap", gap)
     rows = rows.withColumn("__run", F.sum("__gap").over(order))
     run = Window.partitionBy("file", "rule_id", "__run")
     rows = rows.withColumns(

@@ -18,14 +18,21 @@ from credsieve.sources import inputs
 
 @dataclass
 class ScanResult:
-    """Findings that stay, those a baseline or a verdict suppresses, and how long planning took."""
+    """Findings, suppressed (by a baseline or a verdict) or not, and how long planning took."""
 
-    kept: DataFrame
-    suppressed: DataFrame
+    rows: DataFrame
     seconds: float = 0.0
 
+    @property
+    def kept(self) -> DataFrame:
+        return self.rows.where("not suppressed").drop("suppressed")
+
+    @property
+    def suppressed(self) -> DataFrame:
+        return self.rows.where("suppressed").drop("suppressed")
+
     def all(self) -> DataFrame:
-        return self.kept.withColumn("suppressed", F.lit(False)).unionByName(self.suppressed.withColumn("suppressed", F.lit(True)))
+        return self.rows
 
     def public(self) -> DataFrame:
         return public(self.all())
@@ -53,11 +60,11 @@ class Engine:
             found, known = after.split_by_baseline(found, baseline)
         rows = judges.judged(found, self.config, self.judge, ledger)
         rows = after.partitioned(rows, self.config.ai.filter_false_positives, self.config.ai.min_confidence)
-        kept, gone = rows.where("not suppressed").drop("suppressed"), rows.where("suppressed").drop("suppressed")
         if known is not None:
             none = F.struct(F.lit("unverified").alias("status"), F.lit(0.0).alias("confidence"), F.lit("known").alias("reason"), F.lit("baseline").alias("verifier"))
-            gone = gone.unionByName(known.withColumn("verdict", none), allowMissingColumns=True)
-        return ScanResult(kept, gone, time.monotonic() - began)
+            known = known.withColumns({"verdict": none, "suppressed": F.lit(True)})
+            rows = rows.unionByName(known, allowMissingColumns=True)
+        return ScanResult(rows, time.monotonic() - began)
 
     def scan_path(self, path: str, **more: DataFrame) -> ScanResult:
         return self.scan(inputs.file_units(self.spark, path, self.config), **more)
@@ -82,7 +89,7 @@ class Engine:
         units = inputs.history_units(self.spark, folder, limit, since)
         result = self.scan(units, **more)
         commits = units.select("unit_id", "hash", "author", "email", "date", "message")
-        return ScanResult(result.kept.join(commits, "unit_id", "left"), result.suppressed.join(commits, "unit_id", "left"), result.seconds)
+        return ScanResult(result.rows.join(commits, "unit_id", "left"), result.seconds)
 
     def verify(self, secret: str, context: str = "", rule_id: str = "manual") -> dict:
         """The verdict on one candidate."""
