@@ -110,7 +110,7 @@ def fitted(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Machine:
         stats.mean(axis=0),
         np.where(scale > 1e-9, scale, 1.0),
     )
-    if not 0 < share < 1:
+    if not rows or not 0 < share < 1:
         machine.bias = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
         machine.factors[:] = 0
         return machine
