@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credsieve.sources.shipping import ship_package
+
 #: ASCII white space, and the complement: a word is a run of the latter.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,16 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE, HOT_ROWS = 0.001, 1000
 
 
+__all__ = ["HOT_ROWS", "HOT_SHARE", "SPACES", "WORD", "hot_rows", "lookup", "plain_text", "shared_folder", "ship_package", "stored"]
+
+
 def plain_text(df: DataFrame, name: str) -> Column:
     """The text column as a string, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def without_columns(df: DataFrame, *names: str) -> DataFrame:
-    """An operator's own result columns replace input columns of the same name."""
-    return df.drop(*names)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a temporary one only where none is set."""
     sc = spark.sparkContext
@@ -47,24 +44,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, for workers that can't import it otherwise."""
-    sc = spark.sparkContext
-    if getattr(sc, "_credsieve_sent", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="credsieve-"), "credsieve.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for path in sorted(top.rglob("*.py")):
-            out.write(path, path.relative_to(top.parent))
-    sc.addPyFile(target)
-    sc._credsieve_sent = True
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def hot_rows(total: int) -> int:
     """Rows from which a key counts as hot, of `total` rows."""
     return max(HOT_ROWS, int(total * HOT_SHARE) + 1)
