@@ -31,7 +31,7 @@ from credsieve.llm.tokens import encoder
 
 LIMIT, END = 1024, 2
 #: Pieces of a range of hashes, and the most ranges.
-RANGE_PIECES, MOST_RANGES = 20_000, 4096
+RANGE_PIECES, MOST_RANGES = 2_000, 4096
 #: Rounds of the fit, and lengths that are enumerated at most (others are left to best fit).
 ROUNDS, MOST_LENGTHS = 400, 4096
 
