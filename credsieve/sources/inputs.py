@@ -30,7 +30,7 @@ def file_units(spark: SparkSession, path: str, config: Config | None = None) ->
     files = reader.load(path).where(F.col("length") <= config.scan.max_file_size_bytes)
     root = F.lit(str(path).rstrip("/").removeprefix("file:") + "/")
     plain = F.regexp_replace("path", "^file:/*", "/")
-    relative = F.when(F.contains(plain, root), F.substring_index(plain, root, -1)).otherwise(F.element_at(F.split(plain, "/"), -1))
+    relative = F.when(F.contains(plain, root), F.call_function("substring_index", plain, root, F.lit(-1))).otherwise(F.element_at(F.split(plain, "/"), -1))
     return units_of_files(gated(files.withColumn("path", relative), config))
 
 
