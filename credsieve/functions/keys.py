@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from credsieve.functions.text import contains_any, let, matches, secret_shaped
+from credsieve.functions.text import contains_any, let, matches, secret_shaped, whole
 from credsieve.plans import values as V
 
 NONE, IDENTITY, WEAK, SECRET, PASSWORD = range(5)
@@ -19,7 +19,7 @@ def key_words(key: Column) -> Column:
 
 
 def _one_of(word: Column, words: tuple[str, ...]) -> Column:
-    return word.isin(*words)
+    return word.rlike(whole(words))
 
 
 def _is_password(word: Column) -> Column:
@@ -88,7 +88,7 @@ def anchored_placeholder(value: Column) -> Column:
     """The whole value (digits at its end aside) is a stop word, or begins with one that asks for more."""
     low = F.lower(value)
     open_ended = [w for w in V.STOPWORDS if w.endswith(("_", "-")) or w.startswith("<")]
-    found = low.isin(*V.STOPWORDS) | F.regexp_replace(low, "[0-9]+$", "").isin(*V.STOPWORDS)
+    found = low.rlike(whole(V.STOPWORDS)) | F.regexp_replace(low, "[0-9]+$", "").rlike(whole(V.STOPWORDS))
     for word in open_ended:
         found = found | low.startswith(word)
     return found
@@ -107,7 +107,7 @@ def is_literal(value: Column, quoted: Column) -> Column:
         & (quoted | ~(value.rlike(r"^[(\[{]") | F.contains(value, F.lit("("))))
         & (F.regexp_count(value, F.lit(" ")) < 4)
         & ~F.contains(value, F.lit("\\n"))
-        & ~F.lower(value).isin(*V.NON_VALUES)
+        & ~F.lower(value).rlike(whole(V.NON_VALUES))
         & ~value.rlike(r"(?s)^(.)\1*\z")
         & ~anchored_placeholder(value)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from credsieve.functions.keys import SECRET, classify_key
-from credsieve.functions.text import matches
+from credsieve.functions.text import matches, whole
 from credsieve.plans import values as V
 
 _GLOB = re.compile(r"\*\*/|\*\*|\*|\?|[^*?]+")
@@ -38,19 +38,19 @@ def _extension(base: Column) -> Column:
 
 def needs_quotes(path: Column) -> Column:
     base = F.lower(base_name(path))
-    return base.rlike(f"^(?:{'|'.join(V.PROSE_NAMES)})") | (base.rlike(r"^.+\.") & _extension(base).isin(*V.QUOTED_EXTENSIONS))
+    return base.rlike(f"^(?:{'|'.join(V.PROSE_NAMES)})") | (base.rlike(r"^.+\.") & _extension(base).rlike(whole(V.QUOTED_EXTENSIONS)))
 
 
 def is_credential_file(path: Column) -> Column:
     base = F.lower(base_name(path))
     dotted = base.rlike(r"^.+\.")
     stem = F.when(dotted, F.regexp_extract(base, r"^(.+)\.[^.]*\z", 1)).otherwise(base)
-    return (~dotted | _extension(base).isin(*V.DATA_EXTENSIONS)) & (classify_key(stem) >= SECRET)
+    return (~dotted | _extension(base).rlike(whole(V.DATA_EXTENSIONS))) & (classify_key(stem) >= SECRET)
 
 
 def is_key_material(path: Column) -> Column:
     base = F.lower(base_name(path))
-    return F.regexp_extract(base, r"\.([^.]*)\z", 1).isin(*V.KEY_MATERIAL_EXTENSIONS) | matches(base, V.KEY_MATERIAL_NAME)
+    return F.regexp_extract(base, r"\.([^.]*)\z", 1).rlike(whole(V.KEY_MATERIAL_EXTENSIONS)) | matches(base, V.KEY_MATERIAL_NAME)
 
 
 def _folders(path: Column) -> Column:
@@ -60,18 +60,18 @@ def _folders(path: Column) -> Column:
 
 def is_test_path(path: Column) -> Column:
     base = F.lower(base_name(path))
-    folder = F.exists(_folders(path), lambda x: F.lower(x).isin(*V.TEST_DIRECTORIES) | matches(x, V.TEST_DIRECTORY_SHAPE))
+    folder = F.exists(_folders(path), lambda x: F.lower(x).rlike(whole(V.TEST_DIRECTORIES)) | matches(x, V.TEST_DIRECTORY_SHAPE))
     return folder | base.rlike(r"^(?:test|mock)|[_.]test\.|-test|test-|[._]spec\.")
 
 
 def is_doc_file(path: Column) -> Column:
     base = F.lower(F.regexp_extract(F.regexp_replace(path, r"\\", "/"), r"([^/]*)\z", 1))
-    return base.isin(*V.DOC_NAMES) | F.regexp_extract(base, r"\.([^.]*)\z", 1).isin(*V.DOC_EXTENSIONS)
+    return base.rlike(whole(V.DOC_NAMES)) | F.regexp_extract(base, r"\.([^.]*)\z", 1).rlike(whole(V.DOC_EXTENSIONS))
 
 
 def is_non_prod(path: Column) -> Column:
     low = F.regexp_replace(F.lower(F.regexp_replace(path, r"\\", "/")), "^/+|/+$", "")
     base = F.regexp_extract(low, r"([^/]*)\z", 1)
     tokens = F.split(base, "[^a-z0-9]+")
-    folder = F.exists(_folders(low), lambda x: x.isin(*V.NON_PROD_DIRECTORIES))
-    return folder | is_doc_file(low) | F.exists(tokens, lambda x: x.isin(*V.NON_PROD_TOKENS))
+    folder = F.exists(_folders(low), lambda x: x.rlike(whole(V.NON_PROD_DIRECTORIES)))
+    return folder | is_doc_file(low) | F.exists(tokens, lambda x: x.rlike(whole(V.NON_PROD_TOKENS)))

@@ -16,11 +16,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def quoted(words: Iterable[str]) -> str:
+    """A pattern for any of the words, literally."""
+    return "|".join(rf"\Q{w}\E" for w in words)
+
+
+def whole(words: Iterable[str]) -> str:
+    """A pattern for texts that are one of the words."""
+    return rf"^(?:{quoted(words)})\z"
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    """One pattern for all words: for short texts, where a plan of many `contains` costs more than it saves."""
+    words = tuple(words)
+    return text.rlike(quoted(words)) if words else F.lit(False)
 
 
 def matches(text: Column, pattern: str) -> Column:

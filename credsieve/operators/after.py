@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from credsieve.functions.paths import is_doc_file, is_key_material, is_non_prod, is_test_path
 from credsieve.functions.secrets import cache_key, redact, redact_in
-from credsieve.functions.text import contains_any, matches
+from credsieve.functions.text import contains_any, matches, quoted, whole
 from credsieve.plans import values as V
 from credsieve.plans.catalog import RANKS
 
@@ -123,9 +123,9 @@ def suppressing_reason(found: str = "", generic: Column | None = None) -> Column
     marked = F.concat(F.lit("+"), secret, F.lit("+"))
     there = line != ""
     return (
-        F.when(low.isin(*V.PLACEHOLDER_CREDENTIALS), "placeholder credential")
-        .when(low.isin(*V.KNOWN_DIGESTS), "published digest")
-        .when(F.lower(parts[0]).isin(*V.PLACEHOLDER_CREDENTIALS) & F.lower(parts[1]).isin(*V.PLACEHOLDER_CREDENTIALS), "placeholder credentials in a URI")
+        F.when(low.rlike(whole(V.PLACEHOLDER_CREDENTIALS)), "placeholder credential")
+        .when(low.rlike(whole(V.KNOWN_DIGESTS)), "published digest")
+        .when(F.lower(parts[0]).rlike(whole(V.PLACEHOLDER_CREDENTIALS)) & F.lower(parts[1]).rlike(whole(V.PLACEHOLDER_CREDENTIALS)), "placeholder credentials in a URI")
         .when(F.contains(secret, F.lit("#{")) | F.contains(secret, F.lit("${")), "interpolation")
         .when(secret.startswith("--"), "command-line flag")
         .when(~generic, F.lit(None))
@@ -145,9 +145,7 @@ def offline_verdict() -> Column:
     generic = (F.col("rule_id") == "") | F.col("rule_id").startswith("generic")
     reason = suppressing_reason(generic=generic)
     words = F.lower("context").rlike(rf"(?<![0-9a-z_])(?:{'|'.join(V.CODE_CONTEXT_MARKERS)})(?![0-9a-z_])")
-    known = F.lit(False)
-    for prefix in V.KNOWN_PREFIXES:
-        known = known | secret.startswith(prefix)
+    known = secret.rlike(f"^(?:{quoted(V.KNOWN_PREFIXES)})")
     high = F.col("entropy") >= HIGH_ENTROPY
 
     def verdict(status: str, confidence: float, why: Column | str) -> Column:

@@ -31,23 +31,34 @@ FINDINGS = (
 PRIVATE = ("secret", "line_text", "context", "related", "decoded")
 
 
-def may_hold(text: Column, path: Column, config: Config) -> Column:
-    """True for every unit that has a finding (and for few others)."""
-    low = F.lower(text)
-    patterned = F.lit(False)
-    for rule in config.active_rules():
-        gate = contains_any(low, rule.keywords) if rule.keywords else F.lit(True)
-        patterned = patterned | (gate & text.rlike(for_jvm(rule.pattern)))
-    named = contains_any(low, V.CREDENTIAL_WORDS) & text.rlike(
-        r"""(?i)(?:pass|pwd|secret|token|cred|key|salt|auth)[\w.\-]*["'`]?\]?\s*(?::=|=|!=|:|,)"""
-        r"""|<[^<>\s]*(?:pass|pwd|secret|token|cred|key|salt|auth)[^<>]*>|\b(?:password|passwd|passphrase)[ \t]"""
-    )
-    in_url = F.contains(text, F.lit("://")) & F.contains(text, F.lit("@")) & text.rlike(r"://[^\s/]+:[^\s/]+@")
-    in_call = contains_any(low, ("log", "sign", "auth", "cred")) & text.rlike(for_jvm(V.LOGIN_CALL))
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def may_hold(config: Config, text: str = "text", path: str = "path") -> Column:
+    """True for every unit that has a finding (and for few others), over the columns of these names.
+
+    One SQL text, as a plan of a thousand column objects takes longer to build than most scans; the lower-cased text
+    is bound to a variable, so it is made once a unit and not once a keyword.
+    """
+
+    def any_of(words: tuple[str, ...]) -> str:
+        return "(" + " OR ".join(f"contains(low, {_literal(w)})" for w in words) + ")"
+
+    def like(pattern: str) -> str:
+        return f"{text} rlike {_literal(pattern)}"
+
     run = "[A-Za-z0-9+/_-]"
-    hidden = text.rlike(run + "{16,}") & text.rlike(f"(?<!{run})(?=[A-Za-z_-]*[0-9+/=]){run}{{16,}}|{run}{{16,}}=")
-    escaped = text.rlike(r"%[0-9A-Fa-f]{2}[^\n]*%|\\u[0-9a-fA-F]{4}") if config.scan.max_decode_depth else F.lit(False)
-    return patterned | named | in_url | in_call | hidden | escaped | is_credential_file(path)
+    words = "(?:pass|pwd|secret|token|cred|key|salt|auth)"
+    tests = [f"({any_of(r.keywords) if r.keywords else 'true'} AND {like(for_jvm(r.pattern))})" for r in config.active_rules()]
+    bound = like(rf"""(?i){words}[\w.\-]*["'`]?\]?\s*(?::=|=|!=|:|,)|<[^<>\s]*{words}[^<>]*>|\b(?:password|passwd|passphrase)[ \t]""")
+    tests.append(f"({any_of(V.CREDENTIAL_WORDS)} AND {bound})")
+    tests.append(f"(contains(low, '://') AND contains(low, '@') AND {like(r'://[^\s/]+:[^\s/]+@')})")
+    tests.append(f"({any_of(('log', 'sign', 'auth', 'cred'))} AND {like(for_jvm(V.LOGIN_CALL))})")
+    tests.append(f"({like(run + '{16,}')} AND {like(f'(?<!{run})(?=[A-Za-z_-]*[0-9+/=]){run}{{16,}}|{run}{{16,}}=')})")
+    if config.scan.max_decode_depth:
+        tests.append(like(r"%[0-9A-Fa-f]{2}[^\n]*%|\\u[0-9a-fA-F]{4}"))
+    return F.expr(f"exists(array(lower({text})), low -> {' OR '.join(tests)})") | is_credential_file(F.col(path))
 
 
 def gated(files: DataFrame, config: Config) -> DataFrame:
@@ -83,7 +94,7 @@ def findings(units: DataFrame, config: Config | None = None) -> DataFrame:
     config = config or Config()
     ship_package(units.sparkSession)
     wanted = units.where(F.col("text").isNotNull() & ~matches_globs(F.col("path"), config.allowlist.paths))
-    wanted = wanted.where(may_hold(F.col("text"), F.col("path"), config)).select("unit_id", "path", "text", "numbers")
+    wanted = wanted.where(may_hold(config)).select("unit_id", "path", "text", "numbers")
     options = dataclasses.asdict(config)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
