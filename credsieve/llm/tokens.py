@@ -64,16 +64,11 @@ class Encoder:
             self._plain = lambda text: model.encode(text, num_threads=1)
             self.by_piece, self.specials = False, []
             return
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
         with open(self.path, encoding="utf-8") as source:
             said = json.load(source)
         scanner = said.get("pre_tokenizer") or {}
         added = said.get("added_tokens") or []
-        self._plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self._library = None
         # Only for this scanner is it proven above that words can be encoded one by one.
         self.by_piece = (
             said.get("normalizer") is None
@@ -82,13 +77,24 @@ class Encoder:
             and not scanner.get("add_prefix_space", True)
             and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in added)
         )
-        self.specials = sorted((a["content"] for a in added), key=len, reverse=True)
+        self.ids_of_specials = {a["content"]: a["id"] for a in added}
+        self.specials = sorted(self.ids_of_specials, key=len, reverse=True)
         self._split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         if self.by_piece:
             self._word = self._faster(said) or self._plain
             widths = {k: len(x) for x, k in said["model"]["vocab"].items()}
             self.widths = np.array([widths.get(k, 0) for k in range(max(widths) + 1)])
 
+    def _plain(self, text: str) -> list[int]:
+        """By the library of the file's kind; loaded when first needed, as most texts never need it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library.encode(text, add_special_tokens=False).ids
+
     def _faster(self, said: dict) -> Callable[[str], list[int]] | None:
         """The same merges in the quicker library, where ids are in the order of merging."""
         import tiktoken
@@ -113,7 +119,7 @@ class Encoder:
             return np.asarray(self._plain(text), dtype="<u4").tobytes()
         if self._split and any(x in text for x in self.specials):
             return b"".join(
-                np.asarray(self._plain(x), dtype="<u4").tobytes() if k % 2 else self._ordinary(x)
+                np.array([self.ids_of_specials[x]], dtype="<u4").tobytes() if k % 2 else self._ordinary(x)
                 for k, x in enumerate(self._split.split(text))
                 if x
             )
