@@ -155,9 +155,21 @@ class Model:
                 self.seen[word] = found
         return found
 
+    def inside(self, run: str) -> set[tuple]:
+        """Entries for whole words within a run of single characters, whose first and last may belong to its neighbours."""
+        found = {self.entries(run)} if len(run) <= LATTICE else set()
+        for k in range(0, len(run), LATTICE // 2):
+            for reading in self.readings(run[k : k + LATTICE]):
+                for a in range(len(reading)):
+                    for b in range(a + 4, min(len(reading), a + 16) + 1):
+                        if strength := self.lexicon.get(reading[a:b] + "$"):
+                            found.add((strength, reading[a:b] + "$"))
+        return found - {()}
+
     def inputs(self, text: str) -> list[float]:
         words = text.lower().split()
-        hits = {found for x in {*words, *_spaced(words)} if (found := self.entries(x))}
+        hits = {found for x in set(words) if (found := self.entries(x))}
+        hits |= {found for x in _spaced(words) for found in self.inside(x)}
         strengths = sorted((x for x, _ in hits), reverse=True)
         return [1.0, strengths[0] if strengths else 0.0, sum(strengths[:4]), float(np.log1p(len(hits)))]
 
@@ -224,10 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         model.weights = (float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))) if share != 0.5 else 0.0, 0.0, 0.0, 0.0)
         return model
     # Significant for label 1: often enough, and its share there far above that elsewhere.
-    least = max(3, bad // 100)
+    least = max(3, bad // 50)
     strength = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    known = counted.where((F.col("term") != "") & (F.col("bad") >= least) & (strength > 1.5) & (strength / spread > 2))
+    known = counted.where((F.col("term") != "") & (F.col("bad") >= least) & (strength > 1.5) & (strength / spread > 3))
     known = known.select("term", strength.alias("strength")).orderBy(F.desc("strength"), "term").limit(LEXICON)
     model.lexicon = {r[0]: r[1] for r in known.collect()}
     whole = docs.sparkSession.sparkContext.broadcast(model)
