@@ -7,14 +7,16 @@ without words always stay.
 
 The join: tokens are put in order from rare to frequent; two sets can only be similar if their
 prefixes (the first n - ceil(threshold * n) + 1 tokens) share a token, their sizes are near (length
-filter), and enough tokens are left behind the shared one (positional filter).  Candidates that pass
-are verified on their whole sets.  Each class is first held against the earliest class of each of
+filter), enough tokens are left behind the shared one (positional filter), and the 64-bit parities of
+their tokens differ in no more bits than their sets may differ in tokens.  Candidates that pass are
+verified on their whole sets.  Each class is first held against the earliest class of each of
 its tokens, which settles groups of near copies in linear time; only classes that this leaves open
 meet all earlier classes of their tokens.  Nothing is capped, so no match is lost.
 
 Rarity comes from counts of hashed tokens over all lines (2**COUNT_BITS counters at most, which is
 what is broadcast); any order gives the same result.  A token whose counter is 1 occurs once and
-can't be shared.  Tokens are compared by 64-bit and classes by 128-bit hashes.
+can't be shared.  Classes are numbered in the order of their first lines, so what shuffles for each
+token of a prefix is its hash, a number, two sizes and the parity.  Tokens are compared by 64-bit and classes by 128-bit hashes.
 
 Null and empty texts have one empty line.  Rows equal in id and text are one document with one
 result; null ids come last.  An empty table gives no rows.
@@ -86,7 +88,7 @@ def _lines(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
         table, seen = sent.value, set()
         mask = np.uint64(len(table) - 1)
         for batch in batches:
-            owner, place, kind, size, shared, where = [], [], [], [], [], []
+            owner, place, kind, size, parity, shared, where = [], [], [], [], [], [], []
             for k, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 for number, line in enumerate(text.lower().split(b"\n")):
                     found = tokens(line)
@@ -98,6 +100,8 @@ def _lines(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
                     place.append(number)
                     kind.append(name)
                     size.append(len(found))
+                    bits = np.uint64(1) << (found >> np.uint64(58))
+                    parity.append(np.bitwise_xor.reduce(bits).view(np.int64))
                     if name in seen or len(found) < 4:  # fewer than four tokens: similar means equal
                         shared.append(None)
                         where.append(None)
@@ -118,55 +122,54 @@ def _lines(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
                     pa.array(place, pa.int32()),
                     pa.array(kind, pa.binary()),
                     pa.array(size, pa.int32()),
+                    pa.array(parity, pa.int64()),
                     pa.array(shared, pa.list_(pa.int64())),
                     pa.array(where, pa.list_(pa.int32())),
                 ],
-                names=["__id", "__doc", "line", "class", "n", "prefix", "places"],
+                names=["__id", "__doc", "line", "class", "n", "parity", "prefix", "places"],
             )
 
     schema = T.StructType(
         [*rows.schema.fields[:2]]
-        + [T.StructField("line", T.IntegerType()), T.StructField("class", T.BinaryType()), T.StructField("n", T.IntegerType())]
+        + [T.StructField("line", T.IntegerType()), T.StructField("class", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("parity", T.LongType())]
         + [T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
     )
     return rows.mapInArrow(work, schema)
 
 
-def _may_match(n: str, i: str, m: str, j: str, threshold: float):
-    """Length and positional filters of sizes n, m with a shared token at places i, j (from 0)."""
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col(n) + F.col(m)) - F.lit(1e-9))
-    left = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+def _may_match(a: str, b: str, threshold: float):
+    """Length, positional and parity filters of two postings (n, i, parity) that share a token at places i (from 0)."""
+    n, m, i, j = (F.col(f"{x}.{y}") for y in ("n", "i") for x in (a, b))
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9))
     # Of the tokens before, as many as the smaller place may be shared as well, since prefixes drop tokens that occur once.
-    return (
-        (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9))
-        & (left + F.least(F.col(i), F.col(j)) >= least)
-    )
+    left = F.least(n - i, m - j) + F.least(i, j)
+    differ = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    near = F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)
+    return near & (left >= least) & (differ <= n + m - 2 * least)
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The classes of `pairs` (class, other) whose whole sets are similar; sets come from the first line of each class."""
-    needed = pairs.select("class").union(pairs.select(F.col("other").alias("class"))).distinct()
-    places = needed.join(heads, "class").groupBy("__id", "__doc").agg(F.collect_list("line").alias("lines"))
+    """The classes of `pairs` (no, other) whose whole sets are similar; sets come from the first line of each class."""
+    needed = pairs.select("no").union(pairs.select("other")).distinct()
+    places = needed.join(heads, "no").groupBy("__id", "__doc").agg(F.collect_list(F.struct("line", "no")).alias("lines"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, sets = [], []
+            names, sets = [], []
             for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = text.lower().split(b"\n")
-                for number in set(wanted):
-                    found = tokens(lines[number])
-                    found.sort()
-                    kinds.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    sets.append(found.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "tokens"])
+                for place in wanted:
+                    names.append(place["no"])
+                    sets.append(tokens(lines[place["line"]]).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["no", "tokens"])
 
     same = rows["__id"].eqNullSafe(places["__id"]) & (rows["__doc"] == places["__doc"])
-    sets = rows.join(places, same).select("__text", "lines").mapInArrow(work, "class binary, tokens array<bigint>")
-    sets = stored(sets.groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
-    both = pairs.join(sets, "class").join(sets.select(F.col("class").alias("other"), F.col("tokens").alias("others")), "other")
+    sets = rows.join(places, same).select("__text", "lines").mapInArrow(work, "no long, tokens array<bigint>")
+    sets = stored(sets.groupBy("no").agg(F.first("tokens").alias("tokens")), "sets")
+    both = pairs.join(sets, "no").join(sets.select(F.col("no").alias("other"), F.col("tokens").alias("others")), "other")
     common = F.size(F.array_intersect("tokens", "others"))
     whole = F.size("tokens") + F.size("others") - common
-    return both.where(common >= F.lit(threshold) * whole - F.lit(1e-9)).select("class").distinct()
+    return both.where(common >= F.lit(threshold) * whole - F.lit(1e-9)).select("no").distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -177,35 +180,29 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = stored(_lines(rows, _counts(rows, COUNT_BITS), threshold), "lines")
     position = F.struct(F.col("__id").isNull().alias("none"), "__id", "__doc", "line")
     heads = lines.groupBy("class").agg(F.min(position).alias("at"), F.count(F.lit(1)).alias("rows"))
-    heads = stored(heads.select("class", "at.none", "at.__id", "at.__doc", "at.line", "rows"), "heads")
-
-    known = lines.where(F.size("prefix") > 0).select("class", "n", F.arrays_zip("prefix", "places").alias("p"))
-    at = F.struct("none", "__id", "__doc", "line")
-    posted = known.join(heads, "class").select("class", "n", at.alias("at"), F.explode("p").alias("p"))
-    posted = posted.select("class", "n", "at", F.col("p.prefix").alias("token"), F.col("p.places").alias("i"))
-    of_token = Window.partitionBy("token").orderBy("at")
-    whole = of_token.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    posted = posted.withColumns(
-        {
-            "leader": F.first(F.struct("class", "n", "i")).over(whole),
-            "before": F.lag("class").over(of_token),
-            "after": F.lead("class").over(of_token),
-        }
-    )
-    shared = (F.col("leader.class") != F.col("class")) | F.coalesce(F.col("after") != F.col("class"), F.lit(False))
-    posted = stored(posted.where(shared).select("token", "class", "n", "i", "at", F.col("leader.class").alias("other"), F.col("leader.n").alias("m"), F.col("leader.i").alias("j")), "posted")
-
-    led = posted.where((F.col("other") != F.col("class")) & _may_match("n", "i", "m", "j", threshold))
-    led = stored(led.select("class", "other").distinct(), "led")
+    at = ("none", "__id", "__doc", "line")
+    heads = heads.select("class", "at.*", "rows").orderBy(*at).withColumn("no", F.monotonically_increasing_id())
+    heads = stored(heads, "heads")  # numbers follow the order of first lines and are fixed from here on
+    named = heads.select("class", "no")
+
+    def exploded(known: DataFrame) -> DataFrame:
+        rows = known.select("no", "n", "parity", F.explode(F.arrays_zip("prefix", "places")).alias("p"))
+        return rows.select(F.col("p.prefix").alias("token"), F.struct("no", "n", F.col("p.places").alias("i"), "parity").alias("a"))
+
+    known = lines.where(F.size("prefix") > 0).select("class", "n", "parity", "prefix", "places").join(named, "class").drop("class")
+    known = stored(known, "prefixes")
+    of_token = Window.partitionBy("token").orderBy("a")
+    leader = F.first("a").over(of_token.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    led = exploded(known).withColumn("b", leader).where((F.col("a.no") != F.col("b.no")) & _may_match("a", "b", threshold))
+    led = stored(led.select(F.col("a.no").alias("no"), F.col("b.no").alias("other")).distinct(), "led")
     settled = stored(_verified(led, heads, rows, threshold), "settled")
-    opened = posted.join(settled, "class", "left_anti").select("token", "class", "n", "i", "at", F.col("other").alias("leader"))
-    others = posted.select("token", F.col("class").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("at").alias("there"))
-    met = opened.join(others, "token").where(
-        (F.col("there") < F.col("at")) & (F.col("other") != F.col("class")) & (F.col("other") != F.col("leader")) & _may_match("n", "i", "m", "j", threshold)
-    )
-    met = stored(met.select("class", "other").distinct(), "met")
+    opened = exploded(known.join(settled, "no", "left_anti"))
+    met = opened.join(exploded(known).withColumnRenamed("a", "b"), "token")
+    met = met.where((F.col("b.no") < F.col("a.no")) & _may_match("a", "b", threshold))
+    met = met.select(F.col("a.no").alias("no"), F.col("b.no").alias("other")).distinct()
+    met = stored(met.join(led, ["no", "other"], "left_anti"), "met")
     gone = settled.union(_verified(met, heads, rows, threshold)).distinct().withColumn("gone", F.lit(True))
-    marked = heads.join(gone, "class", "left")
+    marked = heads.join(gone, "no", "left")
     marked = stored(marked.select("class", F.col("__id").alias("h_id"), F.col("__doc").alias("h_doc"), F.col("line").alias("h_line"), "rows", F.coalesce("gone", F.lit(False)).alias("gone")), "marked")
     found = lookup(lines.select("__id", "__doc", "line", "class"), marked, "class", F.col("rows") >= hot_rows(lines.count()))
     first = F.col("__id").eqNullSafe(F.col("h_id")) & (F.col("__doc") == F.col("h_doc")) & (F.col("line") == F.col("h_line"))
