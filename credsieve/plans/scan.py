@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.functions.paths import is_credential_file, matches_globs
-from credsieve.functions.text import contains_any, matches
 from credsieve.operators.scanner import Scanner, to_bytes_text, to_text
 from credsieve.plans import values as V
 from credsieve.plans.catalog import RANKS, for_jvm
@@ -140,7 +139,7 @@ def public(found: DataFrame) -> DataFrame:
 
 def native_sweep(lines: DataFrame, config: Config | None = None) -> DataFrame:
     """The entropy sweep alone, as built-in functions over lines (path, number, text): no claims of other stages."""
-    from credsieve.functions.text import normalized_score, skip_reason
+    from credsieve.functions.text import contains_any, normalized_score, skip_reason
 
     config = config or Config()
     runs = F.slice(F.regexp_extract_all("text", F.lit(f"({V.TOKEN_RUN}={{0,2}})"), F.lit(1)), 1, V.TOKENS_A_LINE)
@@ -152,4 +151,4 @@ def native_sweep(lines: DataFrame, config: Config | None = None) -> DataFrame:
     return scored.where(F.col("entropy") >= least).withColumn("severity", F.when(near, "high").otherwise("medium"))
 
 
-__all__ = ["PRIVATE", "findings", "gated", "matches", "may_hold", "native_sweep", "public", "units_of_files", "units_of_table"]
+__all__ = ["PRIVATE", "findings", "gated", "may_hold", "native_sweep", "public", "units_of_files", "units_of_table"]
