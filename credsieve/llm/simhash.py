@@ -67,15 +67,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(work, schema)
 
 
-def _variants(column: str, radius: int) -> list:
-    """Each variant of the fingerprint within `radius` differing bits, as expressions over generated places."""
-    fp = F.col(column)
-    flips = [F.lit(0).cast("long"), *(F.expr(f"shiftleft(1L, {k})") for k in range(64))]
-    if radius == 1:
-        return [fp.bitwiseXOR(x) for x in flips]
-    raise ValueError("half the radius is 1: a radius of 2 or 3")
-
-
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u < v) of different fingerprints `__fp` that join all those within `radius` bits."""
     if radius != 2:
