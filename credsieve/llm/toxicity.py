@@ -4,8 +4,9 @@ The channel writes letters as look-alikes, repeats them, and puts separators or
 A word that can't have passed through it as something else (letters only, none three times in a row)
 is its own restoration; every other word becomes a lattice of characters, and the most likely path
 under a character trigram model and the channel's costs is the restored word (Viterbi).  A run of
-four or more single characters is read as one spaced word.  The character model is counted over all
-texts: 28**3 numbers, summed per task and then over tasks.
+four or more single characters is read as one spaced word, and so is every span of it that has the
+letters of an entry.  Neither words nor runs have a limit of length.  The character model is counted
+over all texts: 28**3 numbers, summed per task and then over tasks.
 
 The score comes from a lexicon of restored words and word beginnings that are significant for label
 1, learned from at most `sample` labelled rows of each label (in the order of a hash of the id), and
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,8 +36,8 @@ from credsieve.llm.quality import fold, labelled_sample
 
 __all__ = ["fit", "fold", "restored_words", "scores"]
 
-#: Labelled rows of each label to fit on, entries of the lexicon, characters of a lattice, words a worker remembers.
-SAMPLE, LEXICON, LATTICE, REMEMBERED = 3000, 4000, 64, 200_000
+#: Labelled rows of each label to fit on, entries of the lexicon, words a worker remembers and their characters at most.
+SAMPLE, LEXICON, REMEMBERED, KEPT = 3000, 4000, 200_000, 64
 BEGINNINGS = (3, 4, 5, 6)
 
 #: What a look-alike may stand for.
@@ -83,21 +84,21 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
 
 
 def restored(word: str, costs: np.ndarray) -> str:
-    """The most likely letters behind a lower-cased `word`."""
+    """The most likely letters behind a lower-cased `word` of any length."""
     if word.isalpha() and not _TRIPLE.search(word):
         return word
-    if len(word) > LATTICE or not any(x.isalpha() or x in LOOK_ALIKES for x in word):
+    if not any(x.isalpha() or x in LOOK_ALIKES for x in word):
         return word
-    # State: the two symbols before, and the last letter written; value: cost and letters so far.
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    # State: the two symbols before, and the last letter written; value: cost and letters so far, the last one first.
+    states: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
     for seen in word:
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
+        after: dict[tuple[int, int, str], tuple[float, tuple]] = {}
         options = [(seen, 0.0)] if seen.isalpha() else [(x, SUBSTITUTED) for x in LOOK_ALIKES.get(seen, "")]
         for (a, b, last), (cost, so_far) in states.items():
             moves = []
             for letter, paid in options:
                 c = _symbol(letter)
-                moves.append(((b, c, letter), cost + paid + costs[a, b, c], so_far + letter))
+                moves.append(((b, c, letter), cost + paid + costs[a, b, c], (letter, so_far)))
                 if letter == last:  # the same letter again, or a look-alike of it
                     moves.append(((a, b, last), cost + paid + REPEATED, so_far))
             if seen in SEPARATORS or not options:
@@ -107,7 +108,27 @@ def restored(word: str, costs: np.ndarray) -> str:
                     after[state] = (total, letters)
         states = after
     ends = [(total + costs[a, b, 0], letters) for (a, b, _), (total, letters) in states.items()]
-    return min(ends)[1] or word
+    least = min(total for total, _ in ends)
+    return min(_written(letters) for total, letters in ends if total == least) or word
+
+
+def _written(letters: tuple) -> str:
+    found = []
+    while letters:
+        last, letters = letters
+        found.append(last)
+    return "".join(reversed(found))
+
+
+#: Letters and look-alikes that may stand for each other, as one letter each.
+_SKELETON = str.maketrans({"l": "i"} | {x: y[0].replace("l", "i") for x, y in LOOK_ALIKES.items()})
+_AGAIN = re.compile(r"(.)\1+")
+
+
+def skeleton(word: str) -> str:
+    """What the channel leaves as it is: equal for a word and all that it may be written as."""
+    plain = word if word.isalpha() else "".join(x for x in word if x.isalpha() or x in LOOK_ALIKES)
+    return _AGAIN.sub(r"\1", plain.translate(_SKELETON))
 
 
 def _spaced(words: list[str]) -> list[str]:
@@ -131,6 +152,18 @@ class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     seen: dict[str, tuple] = field(default_factory=dict)
+    starts: dict[str, bool] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.know(self.lexicon)
+
+    def know(self, lexicon: dict[str, float]) -> None:
+        """Take this lexicon; `starts` are all beginnings of the skeletons of its whole words, true for whole ones."""
+        self.lexicon, self.seen, self.starts = lexicon, {}, {}
+        for whole in {skeleton(x[:-1]) for x in lexicon if x.endswith("$")} - {""}:
+            for k in range(1, len(whole)):
+                self.starts.setdefault(whole[:k], False)
+            self.starts[whole] = True
 
     def readings(self, word: str) -> tuple[str, ...]:
         """The word without marks around it, and its restoration where that differs."""
@@ -149,27 +182,48 @@ class Model:
                 ((self.lexicon.get(x, 0.0), x) for y in self.readings(word) for x in terms(y)), default=(0.0, "")
             )
             found = best if best[0] > 0 else ()
-            if len(word) <= LATTICE:
+            if len(word) <= KEPT:
                 if len(self.seen) >= REMEMBERED:
                     self.seen.clear()
                 self.seen[word] = found
         return found
 
-    def inside(self, run: str) -> set[tuple]:
-        """Entries for whole words within a run of single characters, whose first and last may belong to its neighbours."""
-        found = {self.entries(run)} if len(run) <= LATTICE else set()
-        for k in range(0, len(run), LATTICE // 2):
-            for reading in self.readings(run[k : k + LATTICE]):
-                for a in range(len(reading)):
-                    for b in range(a + 4, min(len(reading), a + 16) + 1):
-                        if strength := self.lexicon.get(reading[a:b] + "$"):
-                            found.add((strength, reading[a:b] + "$"))
-        return found - {()}
+    def inside(self, run: Sequence[str]) -> set[tuple]:
+        """Entries for whole words that two or more neighbours of `run` make together.
+
+        All beginnings are followed at once by their skeletons, so the time is linear in the run; only spans with
+        the skeleton of an entry are decoded.  Of spans that differ by repeats alone, the longest and shortest are.
+        """
+        found: set[tuple] = set()
+        # By skeleton: first and last place where it starts, first and last place where it ends.
+        active: dict[str, tuple[int, int, int, int]] = {}
+        for k, part in enumerate([*run, ""]):
+            own = skeleton(part)
+            if part and not own:  # a separator
+                continue
+            for old, (first, last, early, late) in active.items():
+                if self.starts[old] and own != old[-1]:
+                    for a, b in {(a, b) for a in (first, last) for b in (early, late) if a < b}:
+                        for reading in self.readings("".join(run[a : b + 1])):
+                            if strength := self.lexicon.get(reading + "$"):
+                                found.add((strength, reading + "$"))
+            after: dict[str, tuple[int, int, int, int]] = {}
+            if own:
+                for old, (first, last, early, _) in active.items():
+                    new = old + (own[1:] if own[0] == old[-1] else own)
+                    if new in self.starts:
+                        after[new] = (first, last, early if new == old else k, k)
+                if own in self.starts:
+                    first, _, early, _ = after.get(own, (k, k, k, k))
+                    after[own] = (first, k, early, k)
+            active = after
+        return found
 
     def inputs(self, text: str) -> list[float]:
         words = text.lower().split()
         hits = {found for x in set(words) if (found := self.entries(x))}
-        hits |= {found for x in _spaced(words) for found in self.inside(x)}
+        for run in _spaced(words):
+            hits |= {self.entries(run), *self.inside(run)} - {()}
         strengths = sorted((x for x, _ in hits), reverse=True)
         return [1.0, strengths[0] if strengths else 0.0, sum(strengths[:4]), float(np.log1p(len(hits)))]
 
@@ -241,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     known = counted.where((F.col("term") != "") & (F.col("bad") >= least) & (strength > 1.5) & (strength / spread > 3))
     known = known.select("term", strength.alias("strength")).orderBy(F.desc("strength"), "term").limit(LEXICON)
-    model.lexicon = {r[0]: r[1] for r in known.collect()}
+    model.know({r[0]: r[1] for r in known.collect()})
     whole = docs.sparkSession.sparkContext.broadcast(model)
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -444,3 +444,23 @@ def test_toxicity(spark):
         assert model.score(f"andly theer {text} stly") >= 0.7, text
     assert model.score("andly theer stly") < 0.3
     assert toxicity.scores(docs.limit(0), model).count() == 0
+
+
+def reader(*words):
+    """A model that knows these words, with characters counted over them and some others."""
+    known = " ".join([*words, "the cat sat on a mat and other plain words of some text"] * 50).encode()
+    return toxicity.Model(toxicity.character_costs(toxicity.trigram_counts(known)), {x + "$": 3.0 for x in words})
+
+
+def hits(model, text):
+    return round(float(np.expm1(model.inputs(text)[3])))
+
+
+def test_toxicity_of_any_length():
+    model = reader("worthless", "zed", "counterrevolutionaries")
+    w = "worthless"
+    long = ["wo" + "r" * 90 + "thless", "-".join(x * 4 for x in w) + "-" * 40, " ".join(x for y in w for x in y * 20), "a b " * 29 + " ".join(w)]
+    for text in [*long, "q z e d q", " ".join("counterrevolutionaries")]:
+        assert hits(model, f"the cat {text} sat"), text
+    assert not hits(model, "the cat " + "a b " * 90 + "sat " + "ab-" * 50)
+    assert toxicity.restored("ab1" * 30_000, model.costs)
