@@ -1,11 +1,12 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
 The channel writes letters as look-alikes, repeats them, and puts separators or spaces between them.
-A word that can't have passed through it as something else (letters only, none three times in a row)
+A word that can't have passed through it as something else (letters only, none twice in a row)
 is its own restoration; every other word becomes a lattice of characters, and the most likely path
 under a character trigram model and the channel's costs is the restored word (Viterbi).  A run of
 four or more single characters is read as one spaced word, and so is every span of it that has the
-letters of an entry.  Neither words nor runs have a limit of length.  The character model is counted
+letters of an entry, and so are neighbours of up to SHORT letters that make a whole word together.
+What stands between marks within a word is read as well.  Neither words nor runs have a limit of length.  The character model is counted
 over all texts: 28**3 numbers, summed per task and then over tasks.
 
 The score comes from a lexicon of restored words and word beginnings that are significant for label
@@ -24,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +53,13 @@ SUBSTITUTED, REPEATED, SEPARATED = 1.0, 0.7, 0.7
 #: Letters a-z are 1 to 26, other letters 27, the edge of a word 0.
 SYMBOLS = 28
 
-_TRIPLE = re.compile(r"(.)\1\1")
+#: Pieces of up to this many letters (repeats aside) may be parts of one word.
+SHORT = 3
+
+_DOUBLE = re.compile(r"(.)\1")
+#: What stands between white space and marks: look-alikes count as letters in pieces, but not in the strict ones.
+_ALIKE = "".join(map(re.escape, LOOK_ALIKES))
+_PIECE, _STRICT = re.compile(rf"(?:[^\W_]|[{_ALIKE}])+"), re.compile(r"[^\W_]+")
 _EDGES = "\"“”‘’()[]{}«»¿¡?….,;:!"
 
 
@@ -85,7 +93,7 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
 
 def restored(word: str, costs: np.ndarray) -> str:
     """The most likely letters behind a lower-cased `word` of any length."""
-    if word.isalpha() and not _TRIPLE.search(word):
+    if word.isalpha() and not _DOUBLE.search(word):
         return word
     if not any(x.isalpha() or x in LOOK_ALIKES for x in word):
         return word
@@ -125,6 +133,11 @@ _SKELETON = str.maketrans({"l": "i"} | {x: y[0].replace("l", "i") for x, y in LO
 _AGAIN = re.compile(r"(.)\1+")
 
 
+@lru_cache(1 << 16)
+def _short_skeleton(word: str) -> str:
+    return skeleton(word)
+
+
 def skeleton(word: str) -> str:
     """What the channel leaves as it is: equal for a word and all that it may be written as."""
     plain = word if word.isalpha() else "".join(x for x in word if x.isalpha() or x in LOOK_ALIKES)
@@ -144,6 +157,26 @@ def _spaced(words: list[str]) -> list[str]:
     return found
 
 
+def _short(pieces: list[str]) -> list[list[str]]:
+    """Runs of two or more short pieces."""
+    found, run = [], []
+    for piece in pieces:
+        if len(piece) <= SHORT or (_DOUBLE.search(piece) and len(skeleton(piece)) <= SHORT):
+            run.append(piece)
+        else:
+            if len(run) > 1:
+                found.append(run)
+            run = []
+    return [*found, run] if len(run) > 1 else found
+
+
+def parts(word: str) -> set[str]:
+    """What stands between the marks within a word: look-alikes once as letters, once as marks."""
+    if word.isalpha():
+        return set()
+    return {*_PIECE.findall(word), *_STRICT.findall(word)} - {word, word.strip(_EDGES)}
+
+
 @dataclass
 class Model:
     """Both models and what a worker has restored so far."""
@@ -168,20 +201,18 @@ class Model:
     def readings(self, word: str) -> tuple[str, ...]:
         """The word without marks around it, and its restoration where that differs."""
         plain = word.strip(_EDGES)
-        if plain.isalpha() and not _TRIPLE.search(plain):
+        if plain.isalpha() and not _DOUBLE.search(plain):
             return (plain,)
         best = restored(word, self.costs)
         inner = restored(plain, self.costs) if plain else best
         return tuple(dict.fromkeys(x for x in (plain, inner, best) if x))
 
     def entries(self, word: str) -> tuple:
-        """Its strongest entry of the lexicon: (reading, strength), or nothing."""
+        """The strongest entry of the lexicon, (strength, reading), of the word and of each part of it."""
         found = self.seen.get(word)
         if found is None:
-            best = max(
-                ((self.lexicon.get(x, 0.0), x) for y in self.readings(word) for x in terms(y)), default=(0.0, "")
-            )
-            found = best if best[0] > 0 else ()
+            best = (max(((self.lexicon.get(x, 0.0), x) for y in self.readings(z) for x in terms(y)), default=(0.0, "")) for z in (word, *parts(word)))
+            found = tuple({x for x in best if x[0] > 0})
             if len(word) <= KEPT:
                 if len(self.seen) >= REMEMBERED:
                     self.seen.clear()
@@ -198,7 +229,7 @@ class Model:
         # By skeleton: first and last place where it starts, first and last place where it ends.
         active: dict[str, tuple[int, int, int, int]] = {}
         for k, part in enumerate([*run, ""]):
-            own = skeleton(part)
+            own = _short_skeleton(part) if len(part) <= SHORT else skeleton(part)
             if part and not own:  # a separator
                 continue
             for old, (first, last, early, late) in active.items():
@@ -220,10 +251,13 @@ class Model:
         return found
 
     def inputs(self, text: str) -> list[float]:
-        words = text.lower().split()
-        hits = {found for x in set(words) if (found := self.entries(x))}
+        text = text.lower()
+        words = text.split()
+        hits = {found for x in set(words) for found in self.entries(x)}
         for run in _spaced(words):
-            hits |= {self.entries(run), *self.inside(run)} - {()}
+            hits |= {*self.entries(run), *self.inside(run)}
+        for run in _short(_PIECE.findall(text)):
+            hits |= self.inside(run)
         strengths = sorted((x for x, _ in hits), reverse=True)
         return [1.0, strengths[0] if strengths else 0.0, sum(strengths[:4]), float(np.log1p(len(hits)))]
 
@@ -237,10 +271,20 @@ def terms(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
-def restored_words(text: str, costs: np.ndarray) -> set[str]:
-    model = Model(costs)
+def restored_words(text: str, costs: np.ndarray, known: dict[str, set[str]] | None = None) -> set[str]:
+    """Readings of all words, their parts and spaced words; `known` remembers those of words."""
+    model, known = Model(costs), {} if known is None else known
     words = text.lower().split()
-    return {y for x in {*words, *_spaced(words)} for y in model.readings(x)}
+    found: set[str] = set()
+    for x in {*words, *_spaced(words)}:
+        if (read := known.get(x)) is None:
+            read = {z for y in (x, *parts(x)) for z in model.readings(y)}
+            if len(x) <= KEPT:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[x] = read
+        found |= read
+    return found
 
 
 def _character_model(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -271,9 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+        known: dict[str, set[str]] = {}
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[y].update({t for x in restored_words(text, sent.value) for t in terms(x)})
+                counts[y].update({t for x in restored_words(text, sent.value, known) for t in terms(x)})
                 counts[y][""] += 1
         for y in (0, 1):
             yield pa.RecordBatch.from_arrays(

@@ -464,3 +464,14 @@ def test_toxicity_of_any_length():
         assert hits(model, f"the cat {text} sat"), text
     assert not hits(model, "the cat " + "a b " * 90 + "sat " + "ab-" * 50)
     assert toxicity.restored("ab1" * 30_000, model.costs)
+
+
+def test_toxicity_between_marks_doubled_and_in_short_pieces():
+    model = reader("stupid", "idiot", "trash", "zed")
+    marked = ["you/idiot", "you...idiot", "what-idiot,really", "you!idiot", "(shut)1d1ot", "a:b,stupid;c"]
+    doubled = ["iiddiioott", "ttrash", "TTRRAASSHH"]
+    spaced = ["st up id", "st-up-id", "5t up 1d", "z e d", "tr ash", "sst tup id", "st, up, id"]
+    for text in [*marked, *doubled, *spaced]:
+        assert hits(model, f"the cat {text} sat") == 1, text
+    assert hits(model, "you/idiot...trash") == 2
+    assert not hits(model, "the cat is on a mat, so it is up to us. all letters of it")
