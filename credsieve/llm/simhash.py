@@ -114,26 +114,65 @@ def near_duplicates(
 ) -> DataFrame:
     """One row for each row of `docs`: its id, fingerprint (16 hex digits) and component_id, the smallest id reachable."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named = _components(rows, radius).select("__fp", "n", "component_id")
+    found = lookup(rows, named, "__fp", F.col("n") >= hot_rows(rows.count()))
+    return found.select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One stored row for each fingerprint of `rows`: __fp, root, least (its smallest id), n (its rows) and component_id."""
     smallest = F.min("__id")
     nodes = stored(rows.groupBy("__fp").agg(smallest.alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     mapping = components(stored(links(nodes, radius), "links"))
     if mapping is None:
-        named = nodes.withColumnRenamed("least", "component_id")
+        named = nodes.withColumn("root", F.col("__fp")).withColumn("component_id", F.col("least"))
     else:
         rooted = stored(nodes.join(mapping, "__fp", "left").withColumn("root", F.coalesce("root", "__fp")), "rooted")
         roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = rooted.join(roots, "root").select("__fp", "n", "component_id")
-    named = stored(named, "named")
-    found = lookup(rows, named, "__fp", F.col("n") >= hot_rows(rows.count()))
-    return found.select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+        named = rooted.join(roots, "root")
+    return stored(named.select("__fp", "root", "least", "n", "component_id"), "named")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: the one with the smallest id of each component (all rows with that id and
-    the same text count once only if exact duplicates were dropped before).
+    """The rows of `docs` that stay: exactly one of each component, with the smallest id (null last); of rows with
+    equal ids the one with the smallest fingerprint, then the smallest key.
 
-    Dropped ids go by an anti join on the id alone, so the texts that stay shuffle once at most.
+    Rows get a key once, in a stored copy of `docs`; dropped keys go by an anti join, so the texts that stay
+    shuffle once at most.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = stored(found.where(F.col(id_col) != F.col("component_id")).select(id_col), "dropped")
-    return docs.join(dropped, id_col, "left_anti")
+    kept = docs.columns
+    key, fp = (_unused(x, kept) for x in ("__row", "__fp"))
+    docs = stored(_keyed(docs, text_col, key, fp), "keyed")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(fp).alias("__fp"), F.col(key).alias("__key"))
+    named = _components(rows)
+    at = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("__fp").alias("fp"), "n")
+    best = named.groupBy("root").agg(F.min(at).alias("at")).select(F.col("at.fp").alias("__fp"), F.col("at.id").alias("__best"), "at.n")
+    # Of the fingerprint that stays, the smallest key among the rows with the smallest id.
+    stay = lookup(rows, best, "__fp", F.col("n") >= hot_rows(rows.count()))
+    stay = stay.where(F.col("n").isNotNull() & F.col("__id").eqNullSafe(F.col("__best")))
+    stay = stored(stay.groupBy("__fp").agg(F.min("__key").alias(key)).select(key), "stay")
+    dropped = stored(rows.select(F.col("__key").alias(key)).join(stay, key, "left_anti"), "dropped")
+    return docs.join(dropped, key, "left_anti").select(*kept)
+
+
+def _unused(name: str, taken: list[str]) -> str:
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame, text_col: str, key: str, fp: str) -> DataFrame:
+    """`docs` with the fingerprint and a number of each row; rows stay where they are."""
+    ship_package(docs.sparkSession)
+    text = _unused("__plain", docs.columns)
+    rows = docs.withColumn(text, plain_text(docs, text_col))
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(x) for x in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], names=schema.names
+            )
+
+    return rows.mapInArrow(work, schema).withColumn(key, F.monotonically_increasing_id())

@@ -316,6 +316,13 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_simhash_drops_rows_not_ids(spark):
+    a, b, c, d = ("one two three four five", "quite another text of its own", "nothing like the rest here", "fourth text without any id")
+    rows = [(3, a), (7, a), (7, b), (5, c), (5, c), (None, d), (None, d), (None, a)]
+    stay = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, stay), key=str) == sorted([(3, a), (7, b), (5, c), (None, d)], key=str)
+
+
 def test_components_of_chains_and_dense_groups(spark):
     rng = random.Random(4)
     prints = {0, 2**64 - 1}
