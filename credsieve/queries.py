@@ -640,6 +640,14 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.with_context(rows, "conv_id").withColumn("near", near).where("near <= 5").select("conv_id", "number", "context")
 
 
+@query()
+def context_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines with their whole windows, from whole texts; held against brute force in the tests."""
+    rows = table(spark, sf_dir, "conversations").withColumn("idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    rows = rows.select("conv_id", "idx", (F.col("idx") + 1).alias("number"), F.regexp_replace("text", r"[^ -~]|\s", " ").alias("text"))
+    return lines.with_context(rows, "conv_id").select("conv_id", "number", "context")
+
+
 @query("""
     SELECT o_orderkey AS k, 'user=u' || o_custkey || ' (line 1); host=h' || o_orderkey || ' (line 3)' AS related FROM orders WHERE o_orderkey % 20 = 0
 """)
