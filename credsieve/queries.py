@@ -658,6 +658,15 @@ def related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("unit_id").cast("long").alias("k"), "related")
 
 
+@query()
+def related_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all orders; held against brute force in the tests."""
+    text = F.concat(F.lit("user = u"), F.col("o_custkey").cast("string"), F.lit('\npassword = "'), F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 14), F.lit('"\nhost = h'), F.col("o_orderkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    found = findings(units_of_table(rows, "o_orderkey", "text", F.lit("app.conf"))).where("rule_id = 'generic-password-assignment'")
+    return found.select(F.col("unit_id").cast("long").alias("k"), "related")
+
+
 # ---- after detection --------------------------------------------------------------------------------------
 
 #: A finding for each line item: files by order, lines by supplier, so runs of near lines occur.
@@ -839,8 +848,8 @@ _LABELS = "SELECT 'p' || (o_orderkey % 300) AS path, o_custkey % 400 AS start, o
 _HITS = "SELECT 'p' || (p_partkey % 300) AS path, p_partkey % 400 AS lo, p_partkey % 400 + 1 AS hi, p_partkey AS id FROM part"
 
 
-def _hits_and_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+def _hits_and_labels(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders").where("true" if whole else "o_orderkey % 4 = 0")
     marks = orders.selectExpr(
         "concat('p', o_orderkey % 300) AS path", "o_custkey % 400 AS start", "o_custkey % 400 + 3 AS `end`", "CASE o_orderkey % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'F' ELSE 'X' END AS label"
     )
@@ -868,6 +877,20 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hits", "judged", "true_found", "all_true", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
+@query()
+def label_interval_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all orders; held against brute force in the tests."""
+    hits, marks = _hits_and_labels(spark, sf_dir, whole=True)
+    return metrics.labelled(hits, marks).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def precision_recall_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all orders; held against brute force in the tests."""
+    rows = metrics.precision_recall(*_hits_and_labels(spark, sf_dir, whole=True))
+    return rows.select("hits", "judged", "true_found", "all_true", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
 @query("""
     WITH e AS (SELECT o_orderkey, count(*) AS expected FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1), f AS (SELECT l_orderkey, count(*) AS found FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
     SELECT CAST(sum(least(coalesce(found, 0), expected - 1)) AS BIGINT) AS covered, CAST(sum(expected - 1) AS BIGINT) AS expected, count(*) FILTER (coalesce(found, 0) > 0 AND expected > 1) AS files_covered,
