@@ -244,3 +244,12 @@ def test_commands_that_commit(spark):
     table = {"git commit -m x": True, "cd a && git -C b add .": True, "git log": False, "echo git commit": False, "git --no-pager stage x; ls": True, "mygit commit": False}
     df = spark.createDataFrame([(k,) for k in table], "c string")
     assert {r[0]: r[1] for r in df.select("c", inputs.commits_something(F.col("c"))).collect()} == table
+
+
+def test_custom_rules_with_anchors_match_lines(spark):
+    own = config.from_toml("[[rules.custom]]\nid = 'own'\nregex = '^API=([0-9]{8})$'\nsecret_group = 1\n")
+    texts = ["a\nAPI=13572468\nb", "a\r\nAPI=13572468\r\nb\r\n", "API=13572468", "x\nAPI=13572468", "x API=13572468", "API=135724689\nx"]
+    units = spark.createDataFrame([(str(k), "a.txt", x, None) for k, x in enumerate(texts)], "unit_id string, path string, text string, numbers array<int>")
+    exact = {str(k) for k, x in enumerate(texts) if any(f.rule_id == "own" for f in Scanner(own).scan("a.txt", x))}
+    assert exact == {"0", "1", "2", "3"}
+    assert {r["unit_id"] for r in findings(units, own).where("rule_id = 'own'").collect()} == exact
