@@ -51,6 +51,11 @@ def prefix_size(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
+def alone(n: int, threshold: float) -> bool:
+    """True where only an equal set can be similar to one of n tokens: one more token is too many."""
+    return n < threshold * (n + 1) - 1e-9
+
+
 def _counts(rows: DataFrame, bits: int) -> np.ndarray:
     """How often each hashed token occurs in a line, up to 255 steps of a logarithm; 1 means once."""
 
@@ -102,7 +107,7 @@ def _lines(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
                     size.append(len(found))
                     bits = np.uint64(1) << (found >> np.uint64(58))
                     parity.append(np.bitwise_xor.reduce(bits).view(np.int64))
-                    if name in seen or len(found) < 4:  # fewer than four tokens: similar means equal
+                    if name in seen or alone(len(found), threshold):
                         shared.append(None)
                         where.append(None)
                         continue

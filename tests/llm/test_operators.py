@@ -482,3 +482,9 @@ def test_toxicity_between_marks_doubled_and_in_short_pieces():
         assert hits(model, f"the cat {text} sat") == 1, text
     assert hits(model, "you/idiot...trash") == 2
     assert not hits(model, "the cat is on a mat, so it is up to us. all letters of it")
+
+
+@pytest.mark.parametrize(("threshold", "removed"), [(0.6, [1, 2, 4]), (0.75, [1, 2]), (0.8, [])])
+def test_line_dedup_of_short_lines(spark, threshold, removed):
+    df = spark.createDataFrame([(1, "a b c\na b c d\na b d\nx y\nx y z\nq")], "doc_id long, text string")
+    assert line_dedup.without_repeated_lines(df, threshold=threshold).first()["removed"] == removed
