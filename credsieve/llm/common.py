@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE, HOT_ROWS = 0.001, 1000
 
 
-__all__ = ["HOT_ROWS", "HOT_SHARE", "SPACES", "WORD", "hot_rows", "lookup", "plain_text", "shared_folder", "ship_package", "stored"]
+__all__ = ["HOT_ROWS", "HOT_SHARE", "SPACES", "WORD", "hot_rows", "lookup", "plain_text", "shared_folder", "ship_package", "stored", "unstored"]
 
 
 def plain_text(df: DataFrame, name: str) -> Column:
@@ -27,21 +29,45 @@ def plain_text(df: DataFrame, name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder all executors share: spark.checkpoint.dir.  Where none is set, a temporary one in local mode, which has
+    no other machines; elsewhere that is an error."""
     sc = spark.sparkContext
-    if found := sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(found)
-        return sc.getCheckpointDir()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="credsieve-"))
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="credsieve-"))
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled within is removed from the executors' disks as soon as the query ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: lineage ends there and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def unstored(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more; others are left to the folder's expiry."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hot_rows(total: int) -> int:
@@ -49,7 +75,7 @@ def hot_rows(total: int) -> int:
     return max(HOT_ROWS, int(total * HOT_SHARE) + 1)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, hot: Column) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], hot: Column) -> DataFrame:
     """`left` with the columns of its row of `right` (one row a key at most; null where none).
 
     `hot` marks the rows of `right` whose key has at least hot_rows() rows of `left`; as these are
@@ -58,5 +84,5 @@ def lookup(left: DataFrame, right: DataFrame, key: str, hot: Column) -> DataFram
     """
     few = right.where(hot).withColumn("__hot", F.lit(True))
     here = left.join(F.broadcast(few), key, "left").where(F.col("__hot")).drop("__hot")
-    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot), key, "left")
+    rest = left.join(F.broadcast(few.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(right.where(~hot), key, "left")
     return here.unionByName(rest)

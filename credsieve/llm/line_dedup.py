@@ -7,174 +7,326 @@ without words always stay.
 
 The join: tokens are put in order from rare to frequent; two sets can only be similar if their
 prefixes (the first n - ceil(threshold * n) + 1 tokens) share a token, their sizes are near (length
-filter), enough tokens are left behind the shared one (positional filter), and the 64-bit parities of
-their tokens differ in no more bits than their sets may differ in tokens.  Candidates that pass are
-verified on their whole sets.  Each class is first held against the earliest class of each of
-its tokens, which settles groups of near copies in linear time; only classes that this leaves open
-meet all earlier classes of their tokens.  Nothing is capped, so no match is lost.
-
-Rarity comes from counts of hashed tokens over all lines (2**COUNT_BITS counters at most, which is
-what is broadcast); any order gives the same result.  A token whose counter is 1 occurs once and
-can't be shared.  Classes are numbered in the order of their first lines, so what shuffles for each
-token of a prefix is its hash, a number, two sizes and the parity.  Tokens are compared by 64-bit and classes by 128-bit hashes.
+filter), enough tokens are left behind the first shared one (positional filter), and the 128
+parities of their tokens differ in no more bits than their sets may differ in tokens.  Candidates
+that pass are verified on their whole sets.  A token that occurs once can't be shared and is left out.
+
+Groups of near copies would pass all filters with all their pairs.  So each class is first held
+against the earliest class with the same smallest and largest hashes (three keys), which settles
+nearly all of such a group in linear time; only classes that this leaves open look for partners in
+the join, and find all.  Nothing is capped, so no match is lost.
+
+Rarity comes from counts of hashed tokens over all lines (2**COUNT_BITS counters, which is what is
+broadcast); any order gives the same result.  Classes are numbered in the order of their first
+lines, so what shuffles for each token of a prefix is five numbers; the self-join reads one shuffle
+twice.  Whole sets are read from the texts, of lines that a Bloom filter of the candidates' places
+lets through (2**BLOOM_BITS bits at most; beyond, more sets shuffle, with the same result).  Tokens
+are compared by 64-bit and classes by 128-bit hashes.
 
 Null and empty texts have one empty line.  Rows equal in id and text are one document with one
-result; null ids come last.  An empty table gives no rows.
+result; null ids come last.  An empty table gives no rows.  Columns of the input named like a result
+column are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credsieve.llm.common import hot_rows, lookup, plain_text, ship_package, stored
+from credsieve.llm.common import hot_rows, lookup, plain_text, ship_package, stored, unstored
 
-THRESHOLD, COUNT_BITS = 0.8, 22
+THRESHOLD, COUNT_BITS, BLOOM_BITS = 0.8, 22, 27
 #: Classes a worker remembers, so that it gives out the tokens of a repeated line once.
-REMEMBERED = 100_000
-
-
-def tokens(line: bytes) -> np.ndarray:
-    """64-bit hashes of the different words of a lower-cased line."""
-    words = set(line.split())
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def prefix_size(n: int, threshold: float) -> int:
-    return n - math.ceil(threshold * n - 1e-9) + 1
-
-
-def alone(n: int, threshold: float) -> bool:
+REMEMBERED = 1 << 20
+#: Bytes of text that are hashed at once, counters of a page.
+BLOCK, PAGE = 1 << 18, 1 << 12
+
+U = np.uint64
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+_SPACE, _NEWLINE = np.zeros(256, bool), 10
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
+    return h ^ (h >> U(32))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    found = np.full(n, base, U)
+    found[0] = 1
+    return np.cumprod(found)
+
+
+_UP, _DOWN = _powers(_BASE, BLOCK + 1), _powers(pow(_BASE, -1, 1 << 64), BLOCK + 1)
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of `data` begins, and its 64-bit hash: a polynomial over its bytes, mixed."""
+    global _UP, _DOWN
+    starts, hashes, begin = [], [], 0
+    while begin < len(data):
+        stop = begin + BLOCK
+        if stop < len(data):  # blocks end at white space
+            while stop < len(data) and not _SPACE[data[stop]]:
+                stop += 1
+        block = np.frombuffer(data[begin:stop], np.uint8)
+        if len(block) >= len(_UP):
+            _UP, _DOWN = _powers(_BASE, len(block) + 1), _powers(pow(_BASE, -1, 1 << 64), len(block) + 1)
+        edge = np.flatnonzero(np.diff(_SPACE[block], prepend=True, append=True))
+        first, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(block) + 1, U)
+        np.cumsum((block + U(1)) * _UP[: len(block)], out=sums[1:])
+        hashes.append(mixed((sums[end] - sums[first]) * _DOWN[first]))
+        starts.append(first + begin)
+        begin = stop
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, U))
+
+
+def _ordered(owner: np.ndarray, *keys: tuple[np.ndarray, int]) -> np.ndarray:
+    """The order by owner (under 2**20), then by keys (unsigned numbers and their bits; the last one by its upper bits
+    where all fit into 64 bits, and else in full)."""
+    packed, room = owner.astype(U) << U(44), 44
+    for values, bits in keys:
+        take = min(room, bits)
+        room -= take
+        packed |= (values >> U(bits - take)) << U(room)
+    order = np.argsort(packed, kind="stable")
+    tied = np.flatnonzero(packed[order[1:]] == packed[order[:-1]])
+    last = keys[-1][0]
+    if (last[order[tied + 1]] != last[order[tied]]).any():
+        return np.lexsort((*(k for k, _ in reversed(keys)), owner))
+    return order
+
+
+def line_sets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines of `data` with words: their places, where their tokens begin (and the end), and their sorted tokens."""
+    at, found = hashed_words(data)
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == _NEWLINE)
+    line = np.searchsorted(breaks, at)
+    places, owner = np.unique(line, return_inverse=True)
+    if len(places) >= 1 << 20:
+        order = np.lexsort((found, owner))
+    else:
+        order = _ordered(owner, (found, 64))
+    owner, found = owner[order], found[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+    owner, found = owner[new], found[new]
+    return places, np.searchsorted(owner, np.arange(len(places) + 1)), found
+
+
+def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
+def alone(n: np.ndarray, threshold: float) -> np.ndarray:
     """True where only an equal set can be similar to one of n tokens: one more token is too many."""
     return n < threshold * (n + 1) - 1e-9
 
 
+def _blocks(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Lower-cased texts joined by line ends, about BLOCK bytes at a time, with the place of the first."""
+    k = 0
+    while k < len(texts):
+        first, size = k, 0
+        while k < len(texts) and (k == first or size + len(texts[k]) <= BLOCK):
+            size += len(texts[k]) + 1
+            k += 1
+        yield first, b"\n".join(texts[first:k]).lower()
+
+
 def _counts(rows: DataFrame, bits: int) -> np.ndarray:
-    """How often each hashed token occurs in a line, up to 255 steps of a logarithm; 1 means once."""
+    """How often each hashed token occurs, in up to 255 steps of a logarithm; 1 means once."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(1 << bits, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                words = [w for line in text.lower().split(b"\n") for w in set(line.split())]
-                hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                np.add.at(found, (hashed & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
-        there = np.flatnonzero(found)
-        for k in range(0, len(there), 1 << 18):
-            part = there[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(found[part])], names=["slot", "n"])
-
-    total = rows.select("__text").mapInArrow(work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    # Packed by ranges of slots, so that what reaches the driver is one byte a counter.
-    level = F.least(F.lit(255), F.when(F.col("n") == 1, 1).otherwise(F.floor(F.log2("n") * 8) - 6)).cast("int")
+            for _, data in _blocks(batch.column(0).cast(pa.binary()).to_pylist()):
+                slots, n = np.unique((hashed_words(data)[1] >> U(64 - bits)).astype(np.int64), return_counts=True)
+                found[slots] += n.astype(np.uint32)
+        pages = found.reshape(-1, min(PAGE, 1 << bits))
+        there = np.flatnonzero(pages.any(axis=1))
+        for k in range(0, len(there), 128):
+            part = there[k : k + 128].tolist()
+            data = [zlib.compress(pages[p].tobytes(), 1) for p in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["page", "data"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def level(total: np.ndarray) -> bytes:
+            steps = np.floor(np.log2(np.maximum(total, 1)) * 8).astype(np.int64) - 6
+            return np.where(total == 0, 0, np.where(total == 1, 1, np.clip(steps, 2, 255))).astype(np.uint8).tobytes()
+
+        def out(page: int, total: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([level(total)], pa.binary())], names=["page", "data"])
+
+        page, total = None, None
+        for batch in batches:  # in order of pages
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != page:
+                    if page is not None:
+                        yield out(page, total)
+                    page, total = k, 0
+                total = total + np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+        if page is not None:
+            yield out(page, total)
+
+    # What a task finds is compressed by pages of counters, so a task sends about a byte for each counter that it has.
+    pages = rows.select("__text").mapInArrow(count, "page int, data binary")
+    levels = pages.repartition("page").sortWithinPartitions("page").mapInArrow(summed, "page int, data binary")
     table = np.zeros(1 << bits, np.uint8)
-    packed = total.groupBy(F.shiftright("slot", 12).alias("page")).agg(
-        F.collect_list(F.struct(F.col("slot").bitwiseAND(F.lit(4095)).cast("short").alias("s"), level.cast("short").alias("v"))).alias("x")
-    )
-    packed = packed.select("page", F.array_join(F.transform("x", lambda e: F.concat(F.lpad(F.hex(e["s"].cast("long")), 3, "0"), F.lpad(F.hex(e["v"].cast("long")), 2, "0"))), "").alias("x"))
-    for page, text in packed.toLocalIterator():
-        data = np.array([int(text[k : k + 5], 16) for k in range(0, len(text), 5)])
-        table[page * 4096 + (data >> 8)] = data & 255
+    for page, data in levels.collect():
+        table[page * len(data) : (page + 1) * len(data)] = np.frombuffer(data, np.uint8)
     return table
 
 
 def _lines(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """Each line with words: __id, __doc, line, class, n, and prefix (token and place, null if given out before)."""
+    """Each line with words: __id, __doc, line, c0 and c1 (its class); the first of a class in a worker also has n (its
+    tokens), p0 and p1 (parities), keys, prefix (tokens) and places (theirs)."""
     sent = rows.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = sent.value, set()
-        mask = np.uint64(len(table) - 1)
+        shift = U(64 - int(math.log2(len(table))))
         for batch in batches:
-            owner, place, kind, size, parity, shared, where = [], [], [], [], [], [], []
-            for k, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                for number, line in enumerate(text.lower().split(b"\n")):
-                    found = tokens(line)
-                    if not len(found):
-                        continue
-                    found.sort()
-                    name = xxhash.xxh3_128_digest(found.tobytes())
-                    owner.append(k)
-                    place.append(number)
-                    kind.append(name)
-                    size.append(len(found))
-                    bits = np.uint64(1) << (found >> np.uint64(58))
-                    parity.append(np.bitwise_xor.reduce(bits).view(np.int64))
-                    if name in seen or alone(len(found), threshold):
-                        shared.append(None)
-                        where.append(None)
-                        continue
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(name)
-                    rare = table[(found & mask).astype(np.int64)]
-                    first = np.argsort(rare, kind="stable")[: prefix_size(len(found), threshold)]
-                    kept = np.flatnonzero(rare[first] != 1)
-                    shared.append(found[first[kept]].view(np.int64).tolist())
-                    where.append(kept.tolist())
-            take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
-                    pa.array(place, pa.int32()),
-                    pa.array(kind, pa.binary()),
-                    pa.array(size, pa.int32()),
-                    pa.array(parity, pa.int64()),
-                    pa.array(shared, pa.list_(pa.int64())),
-                    pa.array(where, pa.list_(pa.int32())),
-                ],
-                names=["__id", "__doc", "line", "class", "n", "parity", "prefix", "places"],
-            )
-
-    schema = T.StructType(
-        [*rows.schema.fields[:2]]
-        + [T.StructField("line", T.IntegerType()), T.StructField("class", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("parity", T.LongType())]
-        + [T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
-    )
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for first, data in _blocks(texts):
+                lines, at, found = line_sets(data)
+                if not len(lines):
+                    continue
+                begin, n = at[:-1], np.diff(at)
+                c0, c1 = np.add.reduceat(found, begin), np.add.reduceat(mixed(found ^ U(0x1234567)), begin)
+                # The text of each line, and its place there.
+                here = texts[first:]
+                ends = np.cumsum([x.count(b"\n") + 1 for x in here[: _upto(here, data)]])
+                doc = np.searchsorted(ends, lines, side="right")
+                line = lines - np.concatenate(([0], ends))[doc]
+                fresh = np.zeros(len(lines), bool)
+                open_lines = np.flatnonzero(~alone(n, threshold))
+                for k, name in zip(open_lines.tolist(), zip(c0[open_lines].tolist(), c1[open_lines].tolist(), strict=True), strict=True):
+                    if name not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(name)
+                        fresh[k] = True
+                take = pa.array(first + doc, pa.int64())
+                cells = [batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), *(pa.array(x.view(np.int64)) for x in (c0, c1))]
+                yield pa.RecordBatch.from_arrays([*cells, *_payload(found, begin, n, fresh, table, shift, threshold)], names=schema.names)
+
+    more = "n int, p0 long, p1 long, keys array<bigint>, prefix array<bigint>, places array<int>"
+    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("line int, c0 long, c1 long, " + more).fields])
     return rows.mapInArrow(work, schema)
 
 
-def _may_match(a: str, b: str, threshold: float):
-    """Length, positional and parity filters of two postings (n, i, parity) that share a token at places i (from 0)."""
-    n, m, i, j = (F.col(f"{x}.{y}") for y in ("n", "i") for x in (a, b))
+def _upto(texts: list[bytes], data: bytes) -> int:
+    """How many of `texts`, joined by line ends, make `data`."""
+    size, k = -1, 0
+    while size < len(data) and k < len(texts):
+        size += len(texts[k]) + 1
+        k += 1
+    return max(k, 1)
+
+
+def _payload(found: np.ndarray, begin: np.ndarray, n: np.ndarray, fresh: np.ndarray, table: np.ndarray, shift: np.uint64, threshold: float) -> list[pa.Array]:
+    """n, p0, p1, keys, prefix and places of the lines that are `fresh`; null for others."""
+    none = ~fresh
+    p0, p1 = (np.bitwise_xor.reduceat(U(1) << ((found >> U(s)) & U(63)), begin) for s in (3, 13))
+    turned = (found << U(32)) | (found >> U(32))
+    low, high = found[begin], found[begin + n - 1]
+    low2, high2 = np.minimum.reduceat(turned, begin), np.maximum.reduceat(turned, begin)
+    keys = np.stack([mixed(low ^ mixed(high)), mixed(low2 ^ mixed(high2)), mixed(low ^ mixed(low2))], axis=1)[fresh].ravel()
+    kept = np.repeat(fresh, n)
+    tokens, sizes = found[kept], n[fresh]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rare = table[(tokens >> shift).astype(np.int64)]
+    wide = len(sizes) >= 1 << 20
+    order = np.lexsort((tokens, rare, owner)) if wide else _ordered(owner, (rare.astype(U), 8), (tokens, 64))
+    rank = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    use = (rank < np.repeat(prefix_size(sizes, threshold), sizes)) & (rare[order] != 1)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owner[use], minlength=len(sizes)))))
+
+    def spread(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+        """Lists for the fresh lines, null for the rest."""
+        where = np.concatenate(([0], np.cumsum(fresh)))
+        return pa.ListArray.from_arrays(pa.array(offsets[where].astype(np.int32), mask=np.concatenate((none, [False]))), values)
+
+    return [
+        pa.array(n.astype(np.int32), mask=none),
+        pa.array(p0.view(np.int64), mask=none),
+        pa.array(p1.view(np.int64), mask=none),
+        spread(3 * np.arange(len(sizes) + 1), pa.array(keys.view(np.int64))),
+        spread(ends, pa.array(tokens[order][use].view(np.int64))),
+        spread(ends, pa.array(rank[use].astype(np.int32))),
+    ]
+
+
+def _may_match(a: dict[str, Column], b: dict[str, Column], threshold: float, places: bool = True) -> Column:
+    """Length, positional and parity filters; `a` and `b` have n, p0 and p1, and i, the place of their first shared token."""
+    n, m = a["n"], b["n"]
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9))
-    # Of the tokens before, as many as the smaller place may be shared as well, since prefixes drop tokens that occur once.
-    left = F.least(n - i, m - j) + F.least(i, j)
-    differ = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-    near = F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)
-    return near & (left >= least) & (differ <= n + m - 2 * least)
+    # A token given shares one bit of each parity, so either one bounds the difference.
+    differ = F.greatest(*(F.bit_count(a[p].bitwiseXOR(b[p])) for p in ("p0", "p1")))
+    near = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)) & (differ <= n + m - 2 * least)
+    return near & (F.least(n - a["i"], m - b["i"]) >= least) if places else near
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The classes of `pairs` (no, other) whose whole sets are similar; sets come from the first line of each class."""
     needed = pairs.select("no").union(pairs.select("other")).distinct()
-    places = needed.join(heads, "no").groupBy("__id", "__doc").agg(F.collect_list(F.struct("line", "no")).alias("lines"))
+    places = stored(heads.join(needed, "no").select("no", "__id", "__doc", "line"), "places")
+    bits = 10
+    while bits < BLOOM_BITS and 1 << bits < 16 * places.count():
+        bits += 1
+    # One place by document and line, one by document, so that most texts are passed over at once.
+    at = [F.shiftrightunsigned(F.col("__doc").bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 44)), 64 - bits), F.shiftrightunsigned(F.shiftleft("__doc", 20), 64 - bits)]
+    words = places.select(F.explode(F.array(*at)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow()
+    table = np.zeros(max(1, 1 << bits >> 6), np.int64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little") if bits < 20 else table)
+
+    def there(bit: np.ndarray) -> np.ndarray:
+        table = sent.value
+        if table.dtype == np.uint8:
+            return table[bit.astype(np.int64)] == 1
+        return (table[(bit >> U(6)).astype(np.int64)].view(U) >> (bit & U(63))) & U(1) == 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sets = [], []
-            for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = text.lower().split(b"\n")
-                for place in wanted:
-                    names.append(place["no"])
-                    sets.append(tokens(lines[place["line"]]).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["no", "tokens"])
-
-    same = rows["__id"].eqNullSafe(places["__id"]) & (rows["__doc"] == places["__doc"])
-    sets = rows.join(places, same).select("__text", "lines").mapInArrow(work, "no long, tokens array<bigint>")
-    sets = stored(sets.groupBy("no").agg(F.first("tokens").alias("tokens")), "sets")
+            docs = batch.column(1).to_numpy().view(U)
+            hit = np.flatnonzero(there((docs << U(20)) >> U(64 - bits)))
+            texts = batch.column(2).take(pa.array(hit, pa.int64())).cast(pa.binary()).to_pylist()
+            owner, line, sets = [], [], []
+            for k, text in zip(hit.tolist(), texts, strict=True):
+                lines = text.split(b"\n")
+                key = docs[k] ^ (np.arange(len(lines), dtype=U) << U(44))
+                for x in np.flatnonzero(there(key >> U(64 - bits))).tolist():
+                    owner.append(k)
+                    line.append(x)
+                    sets.append(np.unique(hashed_words(lines[x].lower())[1]).view(np.int64))
+            take = pa.array(owner, pa.int64())
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), found], names=schema.names)
+
+    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("line int, tokens array<bigint>").fields])
+    here = rows.mapInArrow(work, schema).toDF("r_id", "r_doc", "r_line", "tokens")
+    same = F.col("__id").eqNullSafe(F.col("r_id")) & (F.col("__doc") == F.col("r_doc")) & (F.col("line") == F.col("r_line"))
+    sets = stored(places.join(here, same).select("no", "tokens").dropDuplicates(["no"]), "sets")
     both = pairs.join(sets, "no").join(sets.select(F.col("no").alias("other"), F.col("tokens").alias("others")), "other")
     common = F.size(F.array_intersect("tokens", "others"))
     whole = F.size("tokens") + F.size("others") - common
-    return both.where(common >= F.lit(threshold) * whole - F.lit(1e-9)).select("no").distinct()
+    found = stored(both.where(common >= F.lit(threshold) * whole - F.lit(1e-9)).select("no").distinct(), "verified")
+    unstored(sets, places)
+    return found
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -182,36 +334,52 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship_package(docs.sparkSession)
     text = plain_text(docs, text_col)
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__doc"), text.alias("__text"))
-    lines = stored(_lines(rows, _counts(rows, COUNT_BITS), threshold), "lines")
-    position = F.struct(F.col("__id").isNull().alias("none"), "__id", "__doc", "line")
-    heads = lines.groupBy("class").agg(F.min(position).alias("at"), F.count(F.lit(1)).alias("rows"))
+    lines = stored(_lines(rows, _counts(rows, COUNT_BITS), threshold).withColumn("row", F.monotonically_increasing_id()), "lines")
     at = ("none", "__id", "__doc", "line")
-    heads = heads.select("class", "at.*", "rows").orderBy(*at).withColumn("no", F.monotonically_increasing_id())
+    heads = lines.groupBy("c0", "c1").agg(
+        F.min(F.struct(F.col("__id").isNull().alias("none"), *at[1:])).alias("at"),
+        F.count(F.lit(1)).alias("rows"),
+        F.min(F.when(F.col("n").isNotNull(), F.col("row"))).alias("row"),
+    )
+    heads = heads.select("c0", "c1", "at.*", "rows", "row").orderBy(*at).drop("none").withColumn("no", F.monotonically_increasing_id())
     heads = stored(heads, "heads")  # numbers follow the order of first lines and are fixed from here on
-    named = heads.select("class", "no")
-
-    def exploded(known: DataFrame) -> DataFrame:
-        rows = known.select("no", "n", "parity", F.explode(F.arrays_zip("prefix", "places")).alias("p"))
-        return rows.select(F.col("p.prefix").alias("token"), F.struct("no", "n", F.col("p.places").alias("i"), "parity").alias("a"))
-
-    known = lines.where(F.size("prefix") > 0).select("class", "n", "parity", "prefix", "places").join(named, "class").drop("class")
-    known = stored(known, "prefixes")
-    of_token = Window.partitionBy("token").orderBy("a")
-    leader = F.first("a").over(of_token.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    led = exploded(known).withColumn("b", leader).where((F.col("a.no") != F.col("b.no")) & _may_match("a", "b", threshold))
-    led = stored(led.select(F.col("a.no").alias("no"), F.col("b.no").alias("other")).distinct(), "led")
-    settled = stored(_verified(led, heads, rows, threshold), "settled")
-    opened = exploded(known.join(settled, "no", "left_anti"))
-    met = opened.join(exploded(known).withColumnRenamed("a", "b"), "token")
-    met = met.where((F.col("b.no") < F.col("a.no")) & _may_match("a", "b", threshold))
+    # The tokens of a class: once, whatever the number of tasks that have met it.
+    known = lines.where(F.col("n").isNotNull()).select("row", "n", "p0", "p1", "keys", "prefix", "places")
+    known = stored(known.join(heads.select("row", "no"), "row").drop("row"), "classes")
+    slim = stored(lines.select("__id", "__doc", "line", "c0", "c1"), "slim")
+    unstored(lines)
+
+    keyed = known.select("no", "n", "p0", "p1", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min(F.struct("no", "n", "p0", "p1")).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = keyed.join(leaders, "key").where(F.col("no") != F.col("b.no"))
+    own = {x: F.col(x) for x in ("n", "p0", "p1")}
+    met = met.where(_may_match(own, {x: F.col(f"b.{x}") for x in own}, threshold, places=False))
+    led = stored(met.select("no", F.col("b.no").alias("other")).distinct(), "led")
+    settled = _verified(led, heads, rows, threshold)
+
+    # One number holds n, the place and whether the class is still open, so that both sides of the join read one shuffle.
+    marked = known.join(settled.withColumn("settled", F.lit(1)), "no", "left")
+    postings = marked.select("no", "n", "p0", "p1", F.col("settled").isNull().cast("long").alias("open"), F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("places").alias("i"))))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open"))
+    postings = postings.select("token", "no", packed.alias("packed"), "p0", "p1")
+
+    def side(name: str) -> dict[str, Column]:
+        word = F.col(f"{name}.packed")
+        return {"n": F.shiftright(word, 32).cast("int"), "i": F.shiftright(word.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int"), "p0": F.col(f"{name}.p0"), "p1": F.col(f"{name}.p1")}
+
+    earlier = (F.col("a.token") == F.col("b.token")) & (F.col("b.no") < F.col("a.no")) & (F.col("a.packed").bitwiseAND(F.lit(1)) == 1)
+    met = postings.alias("a").join(postings.alias("b").hint("merge"), earlier & _may_match(side("a"), side("b"), threshold))
     met = met.select(F.col("a.no").alias("no"), F.col("b.no").alias("other")).distinct()
     met = stored(met.join(led, ["no", "other"], "left_anti"), "met")
+    unstored(known, led)
     gone = settled.union(_verified(met, heads, rows, threshold)).distinct().withColumn("gone", F.lit(True))
-    marked = heads.join(gone, "no", "left")
-    marked = stored(marked.select("class", F.col("__id").alias("h_id"), F.col("__doc").alias("h_doc"), F.col("line").alias("h_line"), "rows", F.coalesce("gone", F.lit(False)).alias("gone")), "marked")
-    found = lookup(lines.select("__id", "__doc", "line", "class"), marked, "class", F.col("rows") >= hot_rows(lines.count()))
+    unstored(met)
+    marked = heads.join(gone, "no", "left").where((F.col("rows") > 1) | F.col("gone"))
+    marked = marked.select("c0", "c1", F.col("__id").alias("h_id"), F.col("__doc").alias("h_doc"), F.col("line").alias("h_line"), "rows", F.coalesce("gone", F.lit(False)).alias("gone"))
+    found = lookup(slim, stored(marked, "marked"), ["c0", "c1"], F.col("rows") >= hot_rows(slim.count()))
+    unstored(heads, settled)
     first = F.col("__id").eqNullSafe(F.col("h_id")) & (F.col("__doc") == F.col("h_doc")) & (F.col("line") == F.col("h_line"))
-    return found.where(F.col("gone") | ~first).groupBy("__id", "__doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return found.where(F.col("rows").isNotNull() & (F.col("gone") | ~first)).groupBy("__id", "__doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
