@@ -31,7 +31,6 @@ column are replaced.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +41,11 @@ from pyspark.sql import types as T
 
 from credsieve.llm.common import hot_rows, lookup, plain_text, ship_package, stored, unstored
 
-THRESHOLD, COUNT_BITS, BLOOM_BITS = 0.8, 22, 27
+THRESHOLD, COUNT_BITS, BLOOM_BITS = 0.8, 24, 27
 #: Classes a worker remembers, so that it gives out the tokens of a repeated line once.
 REMEMBERED = 1 << 20
-#: Bytes of text that are hashed at once, counters of a page.
-BLOCK, PAGE = 1 << 18, 1 << 12
+#: Bytes of text that are hashed at once, counters of a page, rows of numbers that are broadcast at most.
+BLOCK, PAGE, FEW = 1 << 18, 1 << 14, 1 << 20
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
@@ -146,6 +145,7 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
 
 def _counts(rows: DataFrame, bits: int) -> np.ndarray:
     """How often each hashed token occurs, in up to 255 steps of a logarithm; 1 means once."""
+    width = min(PAGE, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << bits, np.uint32)
@@ -153,11 +153,11 @@ def _counts(rows: DataFrame, bits: int) -> np.ndarray:
             for _, data in _blocks(batch.column(0).cast(pa.binary()).to_pylist()):
                 slots, n = np.unique((hashed_words(data)[1] >> U(64 - bits)).astype(np.int64), return_counts=True)
                 found[slots] += n.astype(np.uint32)
-        pages = found.reshape(-1, min(PAGE, 1 << bits))
+        pages = found.reshape(-1, width)
         there = np.flatnonzero(pages.any(axis=1))
         for k in range(0, len(there), 128):
             part = there[k : k + 128].tolist()
-            data = [zlib.compress(pages[p].tobytes(), 1) for p in part]
+            data = [pa.compress(pages[p].tobytes(), "lz4", asbytes=True) for p in part]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["page", "data"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def _counts(rows: DataFrame, bits: int) -> np.ndarray:
                     if page is not None:
                         yield out(page, total)
                     page, total = k, 0
-                total = total + np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+                total = total + np.frombuffer(pa.decompress(data, 4 * width, "lz4"), np.uint32).astype(np.int64)
         if page is not None:
             yield out(page, total)
 
@@ -291,6 +291,9 @@ def _verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame, threshold: fl
     words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow()
     table = np.zeros(max(1, 1 << bits >> 6), np.int64)
     table[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    docs = places.select("__doc").distinct()
+    if docs.count() <= FEW:
+        rows = rows.join(F.broadcast(docs), "__doc", "left_semi").select(*rows.columns)
     sent = rows.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little") if bits < 20 else table)
 
     def there(bit: np.ndarray) -> np.ndarray:
@@ -350,15 +353,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unstored(lines)
 
     keyed = known.select("no", "n", "p0", "p1", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min(F.struct("no", "n", "p0", "p1")).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = keyed.join(leaders, "key").where(F.col("no") != F.col("b.no"))
-    own = {x: F.col(x) for x in ("n", "p0", "p1")}
-    met = met.where(_may_match(own, {x: F.col(f"b.{x}") for x in own}, threshold, places=False))
-    led = stored(met.select("no", F.col("b.no").alias("other")).distinct(), "led")
+    least = {x: F.min_by(x, "no").alias(f"b_{x}") for x in ("n", "p0", "p1")}  # of numbers, so these aggregate by hash
+    leaders = keyed.groupBy("key").agg(F.min("no").alias("other"), *least.values(), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = keyed.join(leaders, "key").where(F.col("no") != F.col("other"))
+    met = met.where(_may_match({x: F.col(x) for x in least}, {x: F.col(f"b_{x}") for x in least}, threshold, places=False))
+    led = stored(met.select("no", "other").distinct(), "led")
     settled = _verified(led, heads, rows, threshold)
 
     # One number holds n, the place and whether the class is still open, so that both sides of the join read one shuffle.
-    marked = known.join(settled.withColumn("settled", F.lit(1)), "no", "left")
+    few = F.broadcast if settled.count() <= FEW else (lambda x: x)
+    marked = known.join(few(settled.withColumn("settled", F.lit(1))), "no", "left")
     postings = marked.select("no", "n", "p0", "p1", F.col("settled").isNull().cast("long").alias("open"), F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("places").alias("i"))))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open"))
     postings = postings.select("token", "no", packed.alias("packed"), "p0", "p1")
@@ -367,7 +371,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         word = F.col(f"{name}.packed")
         return {"n": F.shiftright(word, 32).cast("int"), "i": F.shiftright(word.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int"), "p0": F.col(f"{name}.p0"), "p1": F.col(f"{name}.p1")}
 
-    earlier = (F.col("a.token") == F.col("b.token")) & (F.col("b.no") < F.col("a.no")) & (F.col("a.packed").bitwiseAND(F.lit(1)) == 1)
+    # A product, as a condition on one side alone would be pushed below the shuffle, which is then no longer the same.
+    earlier = (F.col("a.token") == F.col("b.token")) & (F.col("b.no") < F.col("a.no") * F.col("a.packed").bitwiseAND(F.lit(1)))
     met = postings.alias("a").join(postings.alias("b").hint("merge"), earlier & _may_match(side("a"), side("b"), threshold))
     met = met.select(F.col("a.no").alias("no"), F.col("b.no").alias("other")).distinct()
     met = stored(met.join(led, ["no", "other"], "left_anti"), "met")
