@@ -151,8 +151,7 @@ def _counts(rows: DataFrame, bits: int) -> np.ndarray:
         found = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, data in _blocks(batch.column(0).cast(pa.binary()).to_pylist()):
-                slots, n = np.unique((hashed_words(data)[1] >> U(64 - bits)).astype(np.int64), return_counts=True)
-                found[slots] += n.astype(np.uint32)
+                np.add.at(found, (hashed_words(data)[1] >> U(64 - bits)).astype(np.int64), np.uint32(1))
         pages = found.reshape(-1, width)
         there = np.flatnonzero(pages.any(axis=1))
         for k in range(0, len(there), 128):
@@ -238,7 +237,8 @@ def _upto(texts: list[bytes], data: bytes) -> int:
 def _payload(found: np.ndarray, begin: np.ndarray, n: np.ndarray, fresh: np.ndarray, table: np.ndarray, shift: np.uint64, threshold: float) -> list[pa.Array]:
     """n, p0, p1, keys, prefix and places of the lines that are `fresh`; null for others."""
     none = ~fresh
-    p0, p1 = (np.bitwise_xor.reduceat(U(1) << ((found >> U(s)) & U(63)), begin) for s in (3, 13))
+    bit, half = U(1) << (found & U(63)), (found >> U(6)) & U(1) == 1  # each token has one of 128 bits
+    p0, p1 = (np.bitwise_xor.reduceat(np.where(x, bit, U(0)), begin) for x in (half, ~half))
     turned = (found << U(32)) | (found >> U(32))
     low, high = found[begin], found[begin + n - 1]
     low2, high2 = np.minimum.reduceat(turned, begin), np.maximum.reduceat(turned, begin)
@@ -271,11 +271,12 @@ def _payload(found: np.ndarray, begin: np.ndarray, n: np.ndarray, fresh: np.ndar
 def _may_match(a: dict[str, Column], b: dict[str, Column], threshold: float, places: bool = True) -> Column:
     """Length, positional and parity filters; `a` and `b` have n, p0 and p1, and i, the place of their first shared token."""
     n, m = a["n"], b["n"]
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9))
-    # A token given shares one bit of each parity, so either one bounds the difference.
-    differ = F.greatest(*(F.bit_count(a[p].bitwiseXOR(b[p])) for p in ("p0", "p1")))
-    near = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)) & (differ <= n + m - 2 * least)
-    return near & (F.least(n - a["i"], m - b["i"]) >= least) if places else near
+    least = F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9)  # tokens that similar sets share
+    near = F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)
+    if places:
+        near = near & (F.least(n - a["i"], m - b["i"]) >= least)
+    differ = F.bit_count(a["p0"].bitwiseXOR(b["p0"])) + F.bit_count(a["p1"].bitwiseXOR(b["p1"]))
+    return near & (differ <= n + m - 2 * least)
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -390,10 +391,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with the text that is left, and n_lines, n_removed and removed (places from 0, in order)."""
     gone = stored(removed_lines(docs, id_col, text_col, threshold), "removed")
+    size = gone.agg(F.sum(4 + F.size("removed"))).first()[0] or 0
+    few = F.broadcast if size <= 4 * FEW else (lambda x: x)  # else texts shuffle to their lists
     gone = gone.select(F.col("__id").alias("__gone_id"), F.col("__doc").alias("__gone_doc"), "removed")
     text = plain_text(docs, text_col)
     here = docs.drop("n_lines", "n_removed", "removed")
-    found = here.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_doc")), "left")
+    found = here.join(few(gone), F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_doc")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     lines = F.split(text, "\n")
     left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("removed"), k)), "\n")
