@@ -39,7 +39,7 @@ from credsieve.llm.quality import fold, labelled_sample
 __all__ = ["fit", "fold", "restored_words", "scores"]
 
 #: Labelled rows of each label to fit on, entries of the lexicon, words a worker remembers and their characters at most.
-SAMPLE, LEXICON, REMEMBERED, KEPT = 3000, 4000, 200_000, 64
+SAMPLE, LEXICON, REMEMBERED, KEPT = 3000, 4000, 400_000, 64
 BEGINNINGS = (3, 4, 5, 6)
 
 #: What a look-alike may stand for.
@@ -128,9 +128,26 @@ def _written(letters: tuple) -> str:
     return "".join(reversed(found))
 
 
-#: Letters and look-alikes that may stand for each other, as one letter each.
-_SKELETON = str.maketrans({"l": "i"} | {x: y[0].replace("l", "i") for x, y in LOOK_ALIKES.items()})
-_AGAIN = re.compile(r"(.)\1+")
+#: Letters and look-alikes that may stand for each other, as one letter each; other characters go, but line ends.
+_SAME = {"l": "i"} | {x: y[0].replace("l", "i") for x, y in LOOK_ALIKES.items()}
+_AGAIN = re.compile(r"([^\n])\1+")
+
+
+class _Skeleton(dict):
+    """For str.translate: each character is classed when it is first met."""
+
+    def __missing__(self, code: int) -> str:
+        letter = chr(code)
+        self[code] = found = _SAME.get(letter, letter if letter.isalpha() or letter == "\n" else "")
+        return found
+
+
+_SKELETON = _Skeleton()
+
+
+def skeletons(words: Sequence[str]) -> list[str]:
+    """What the channel leaves as it is of each word (without line ends): equal for a word and all that it may be written as."""
+    return _AGAIN.sub(r"\1", "\n".join(words).translate(_SKELETON)).split("\n") if words else []
 
 
 @lru_cache(1 << 16)
@@ -139,35 +156,39 @@ def _short_skeleton(word: str) -> str:
 
 
 def skeleton(word: str) -> str:
-    """What the channel leaves as it is: equal for a word and all that it may be written as."""
-    plain = word if word.isalpha() else "".join(x for x in word if x.isalpha() or x in LOOK_ALIKES)
-    return _AGAIN.sub(r"\1", plain.translate(_SKELETON))
+    return skeletons([word])[0]
 
 
-def _spaced(words: list[str]) -> list[str]:
-    """Runs of four or more single characters, joined."""
+def _spaced(words: list[str]) -> list[list[str]]:
+    """Runs of four or more single characters."""
     found, run = [], []
-    for word in [*words, "  "]:
-        if len(word) == 1:
-            run.append(word)
+    for k in [k for k, x in enumerate(words) if len(x) == 1]:
+        if run and k == run[-1] + 1:
+            run.append(k)
         else:
-            if len(run) >= 4:
-                found.append("".join(run))
-            run = []
-    return found
+            found.append(run)
+            run = [k]
+    return [[words[k] for k in x] for x in [*found, run] if len(x) >= 4]
+
+
+class _Short(dict):
+    """1 for pieces of up to SHORT letters, repeats aside, else 0."""
+
+    def __missing__(self, piece: str) -> int:
+        found = int(len(piece) <= SHORT or bool(_DOUBLE.search(piece)) and len(skeleton(piece)) <= SHORT)
+        if len(piece) <= KEPT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+_SHORT, _RUN = _Short(), re.compile(b"\x01{2,}")
 
 
 def _short(pieces: list[str]) -> list[list[str]]:
     """Runs of two or more short pieces."""
-    found, run = [], []
-    for piece in pieces:
-        if len(piece) <= SHORT or (_DOUBLE.search(piece) and len(skeleton(piece)) <= SHORT):
-            run.append(piece)
-        else:
-            if len(run) > 1:
-                found.append(run)
-            run = []
-    return [*found, run] if len(run) > 1 else found
+    return [pieces[x.start() : x.end()] for x in _RUN.finditer(bytes(map(_SHORT.__getitem__, pieces)))]
 
 
 def parts(word: str) -> set[str]:
@@ -185,18 +206,34 @@ class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     seen: dict[str, tuple] = field(default_factory=dict)
-    starts: dict[str, bool] = field(default_factory=dict)
+    clean: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         self.know(self.lexicon)
 
     def know(self, lexicon: dict[str, float]) -> None:
-        """Take this lexicon; `starts` are all beginnings of the skeletons of its whole words, true for whole ones."""
-        self.lexicon, self.seen, self.starts = lexicon, {}, {}
-        for whole in {skeleton(x[:-1]) for x in lexicon if x.endswith("$")} - {""}:
+        """Take this lexicon.  `starts`: all beginnings of the skeletons of its whole words, true for whole ones;
+        `begun`: the skeletons of its beginnings of words; `two`: how skeletons of words with an entry begin."""
+        self.lexicon, self.starts = lexicon, {}
+        self.forget()
+        wholes = {skeleton(x[:-1]) for x in lexicon if x.endswith("$")} - {""}
+        for whole in wholes:
             for k in range(1, len(whole)):
                 self.starts.setdefault(whole[:k], False)
             self.starts[whole] = True
+        self.begun = {skeleton(x) for x in lexicon if not x.endswith("$")} - {""}
+        self.two = {x[:2] for x in self.begun | wholes}
+        self.single = any(len(x) < 2 for x in self.begun)
+        self.within = re.compile("|".join(map(re.escape, sorted(wholes)))) if wholes else None
+
+    def forget(self) -> None:
+        self.seen, self.clean = {}, set()
+
+    def may_hit(self, bone: str) -> bool:
+        """Whether a word with this skeleton may have an entry: else neither it nor its restoration has."""
+        if bone[:2] not in self.two and not self.single:
+            return False
+        return self.starts.get(bone, False) or any(bone[:k] in self.begun for k in range(1, BEGINNINGS[-1] + 1))
 
     def readings(self, word: str) -> tuple[str, ...]:
         """The word without marks around it, and its restoration where that differs."""
@@ -209,14 +246,31 @@ class Model:
 
     def entries(self, word: str) -> tuple:
         """The strongest entry of the lexicon, (strength, reading), of the word and of each part of it."""
-        found = self.seen.get(word)
-        if found is None:
-            best = (max(((self.lexicon.get(x, 0.0), x) for y in self.readings(z) for x in terms(y)), default=(0.0, "")) for z in (word, *parts(word)))
-            found = tuple({x for x in best if x[0] > 0})
+        best = []
+        for z in (word, *parts(word)):
+            if self.may_hit(skeleton(z)) or self.may_hit(skeleton(z.strip(_EDGES))):
+                best.append(max(((self.lexicon.get(x, 0.0), x) for y in self.readings(z) for x in terms(y)), default=(0.0, "")))
+        return tuple({x for x in best if x[0] > 0})
+
+    def hits(self, words: set[str]) -> set[tuple]:
+        """Entries of all these words.  Words without one are known by their skeletons, most of them without decoding."""
+        left = words - self.clean
+        new = [x for x in left if x not in self.seen]
+        found: set[tuple] = set()
+        for word, bone in zip(new, skeletons(new), strict=True):
+            # Without marks inside and look-alikes at the edges a word has no parts, and one skeleton.
+            plain = "(" not in word and "!" not in word and word.strip(_EDGES).isalnum()
+            got = () if plain and not self.may_hit(bone) else self.entries(word)
+            found.update(got)
             if len(word) <= KEPT:
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                self.seen[word] = found
+                if len(self.seen) + len(self.clean) >= REMEMBERED:
+                    self.forget()
+                if got:
+                    self.seen[word] = got
+                else:
+                    self.clean.add(word)
+        for word in left:
+            found.update(self.seen.get(word, ()))
         return found
 
     def inside(self, run: Sequence[str]) -> set[tuple]:
@@ -226,6 +280,8 @@ class Model:
         the skeleton of an entry are decoded.  Of spans that differ by repeats alone, the longest and shortest are.
         """
         found: set[tuple] = set()
+        if self.within is None or not self.within.search(skeleton("".join(run))):
+            return found  # no whole entry lies in the run
         # By skeleton: first and last place where it starts, first and last place where it ends.
         active: dict[str, tuple[int, int, int, int]] = {}
         for k, part in enumerate([*run, ""]):
@@ -253,9 +309,9 @@ class Model:
     def inputs(self, text: str) -> list[float]:
         text = text.lower()
         words = text.split()
-        hits = {found for x in set(words) for found in self.entries(x)}
+        hits = self.hits(set(words))
         for run in _spaced(words):
-            hits |= {*self.entries(run), *self.inside(run)}
+            hits |= self.hits({"".join(run)}) | self.inside(run)
         for run in _short(_PIECE.findall(text)):
             hits |= self.inside(run)
         strengths = sorted((x for x, _ in hits), reverse=True)
@@ -276,7 +332,7 @@ def restored_words(text: str, costs: np.ndarray, known: dict[str, set[str]] | No
     model, known = Model(costs), {} if known is None else known
     words = text.lower().split()
     found: set[str] = set()
-    for x in {*words, *_spaced(words)}:
+    for x in {*words, *map("".join, _spaced(words))}:
         if (read := known.get(x)) is None:
             read = {z for y in (x, *parts(x)) for z in model.readings(y)}
             if len(x) <= KEPT:
@@ -351,7 +407,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     data = rows.mapInArrow(inputs, "x array<double>, y int").collect()
     prior = labels.where(learn & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     model.weights = _logistic(np.array([r[0] for r in data]), np.array([r[1] for r in data]), prior)
-    model.seen = {}
+    model.forget()
     return model
 
 
