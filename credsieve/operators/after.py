@@ -41,8 +41,15 @@ def collapsed(found: DataFrame) -> DataFrame:
     return rows.where(~merged | (F.col("__k") == 1)).select(*found.columns)
 
 
+def with_known(found: DataFrame, baseline: DataFrame) -> DataFrame:
+    """`found` with known: the baseline holds its fingerprint.  One left join, so the scan behind `found` runs once;
+    the optimizer broadcasts the baseline if its size allows."""
+    names = baseline.select("fingerprint").distinct().withColumn("known", F.lit(True))
+    return found.join(names, "fingerprint", "left").select(*found.columns, F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def split_by_baseline(found: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new, known) by fingerprint; the optimizer broadcasts the baseline if its size allows."""
+    """(new, known) by fingerprint, for findings that are stored; others are better flagged by with_known."""
     names = baseline.select("fingerprint").distinct()
     return found.join(names, "fingerprint", "left_anti"), found.join(names, "fingerprint", "left_semi")
 
@@ -114,57 +121,63 @@ def is_quoted(line: Column, secret: Column) -> Column:
     return (line == "") | (secret == "") | ~F.contains(line, secret) | odd
 
 
-def suppressing_reason(found: str = "", generic: Column | None = None) -> Column:
-    """Why the shape of the value or its line says that it is no credential, or null; first reason first."""
+def suppressors(generic: Column) -> list[tuple[Column, str]]:
+    """Shapes of the value or its line that say that it is no credential, with the reason; the first one counts."""
     secret, line = F.col("secret"), matched_line(F.col("context"), F.col("line"))
     low = F.lower(secret)
-    parts = [F.regexp_extract(secret, V.URI_CREDENTIALS, k) for k in (1, 2)]
+    user, password = (F.lower(F.regexp_extract(secret, V.URI_CREDENTIALS, k)) for k in (1, 2))
     code = matches(secret, V.CODE_EXPRESSION) | matches(secret, V.DOTTED_CALL) | matches(secret, V.SNAKE_NAME)
     marked = F.concat(F.lit("+"), secret, F.lit("+"))
     there = line != ""
-    return (
-        F.when(low.rlike(whole(V.PLACEHOLDER_CREDENTIALS)), "placeholder credential")
-        .when(low.rlike(whole(V.KNOWN_DIGESTS)), "published digest")
-        .when(F.lower(parts[0]).rlike(whole(V.PLACEHOLDER_CREDENTIALS)) & F.lower(parts[1]).rlike(whole(V.PLACEHOLDER_CREDENTIALS)), "placeholder credentials in a URI")
-        .when(F.contains(secret, F.lit("#{")) | F.contains(secret, F.lit("${")), "interpolation")
-        .when(secret.startswith("--"), "command-line flag")
-        .when(~generic, F.lit(None))
-        .when(there & matches(line, V.COMMENT), "comment line")
-        .when(is_doc_file(F.col("file")), "documentation file")
-        .when(matches(secret, V.BIG_INTEGER), "decimal integer")
-        .when(there & matches(secret, V.MARKUP_NAME) & matches(marked, V.MARKUP) & F.contains(line, marked), "inline markup")
-        .when(there & matches(line, V.METHOD_DEFINITION), "method definition")
-        .when(there & ~is_quoted(line, secret) & code, "code expression")
-        .when(matches(secret, V.DOTTED_CALL) | matches(secret, V.SNAKE_NAME) | matches(secret, V.SYMBOL), "identifier")
-    )
-
-
-def offline_verdict() -> Column:
-    """status, confidence and reason of the deterministic judge, as one CASE over a request's columns."""
+    empty_words = whole(V.PLACEHOLDER_CREDENTIALS)
+    return [
+        (low.rlike(empty_words), "placeholder credential"),
+        (low.rlike(whole(V.KNOWN_DIGESTS)), "published digest"),
+        (user.rlike(empty_words) & password.rlike(empty_words), "placeholder credentials in a URI"),
+        (F.contains(secret, F.lit("#{")) | F.contains(secret, F.lit("${")), "interpolation"),
+        (secret.startswith("--"), "command-line flag"),
+        (generic & there & matches(line, V.COMMENT), "comment line"),
+        (generic & is_doc_file(F.col("file")), "documentation file"),
+        (generic & matches(secret, V.BIG_INTEGER), "decimal integer"),
+        (generic & there & matches(secret, V.MARKUP_NAME) & matches(marked, V.MARKUP) & F.contains(line, marked), "inline markup"),
+        (generic & there & matches(line, V.METHOD_DEFINITION), "method definition"),
+        (generic & there & ~is_quoted(line, secret) & code, "code expression"),
+        (generic & (matches(secret, V.DOTTED_CALL) | matches(secret, V.SNAKE_NAME) | matches(secret, V.SYMBOL)), "identifier"),
+    ]
+
+
+def ladder() -> list[tuple[Column, str, float, str]]:
+    """The rungs of the deterministic judge over a request's columns: (condition, status, confidence, reason)."""
     secret = F.col("secret")
     generic = (F.col("rule_id") == "") | F.col("rule_id").startswith("generic")
-    reason = suppressing_reason(generic=generic)
     words = F.lower("context").rlike(rf"(?<![0-9a-z_])(?:{'|'.join(V.CODE_CONTEXT_MARKERS)})(?![0-9a-z_])")
     known = secret.rlike(f"^(?:{quoted(V.KNOWN_PREFIXES)})")
     high = F.col("entropy") >= HIGH_ENTROPY
-
-    def verdict(status: str, confidence: float, why: Column | str) -> Column:
-        why = F.lit(why) if isinstance(why, str) else why
-        return F.struct(F.lit(status).alias("status"), F.lit(confidence).alias("confidence"), why.alias("reason"))
-
-    return (
-        F.when(secret == "", verdict("uncertain", 0.3, "no value"))
-        .when(contains_any(F.lower(secret), V.PLACEHOLDER_MARKERS), verdict("false_positive", 0.9, "placeholder marker"))
-        .when(reason.isNotNull(), verdict("false_positive", 0.85, reason))
-        .when(matches(secret, V.UUID), verdict("false_positive", 0.85, "UUID"))
-        .when(generic & secret.rlike(r"^[0-9a-fA-F]{40}\z"), verdict("false_positive", 0.7, "looks like a commit"))
-        .when(generic & (is_non_prod(F.col("file")) | words), verdict("false_positive", 0.75, "test, example or documentation"))
-        .when(~generic & known, verdict("secret", 0.95, "specific rule, known prefix"))
-        .when(~generic & high, verdict("secret", 0.9, "specific rule, high entropy"))
-        .when(~generic, verdict("secret", 0.7, "specific rule"))
-        .when(high, verdict("uncertain", 0.5, "high entropy, needs review"))
-        .otherwise(verdict("uncertain", 0.4, "can't decide offline"))
-    )
+    return [
+        (secret == "", "uncertain", 0.3, "no value"),
+        (contains_any(F.lower(secret), V.PLACEHOLDER_MARKERS), "false_positive", 0.9, "placeholder marker"),
+        *((shape, "false_positive", 0.85, reason) for shape, reason in suppressors(generic)),
+        (matches(secret, V.UUID), "false_positive", 0.85, "UUID"),
+        (generic & secret.rlike(r"^[0-9a-fA-F]{40}\z"), "false_positive", 0.7, "looks like a commit"),
+        (generic & (is_non_prod(F.col("file")) | words), "false_positive", 0.75, "test, example or documentation"),
+        (~generic & known, "secret", 0.95, "specific rule, known prefix"),
+        (~generic & high, "secret", 0.9, "specific rule, high entropy"),
+        (~generic, "secret", 0.7, "specific rule"),
+        (high, "uncertain", 0.5, "high entropy, needs review"),
+        (F.lit(True), "uncertain", 0.4, "can't decide offline"),
+    ]
+
+
+def with_offline_verdict(asked: DataFrame, name: str = "offline") -> DataFrame:
+    """`asked` with the verdict of the first rung that holds.  The number of the rung is a column of its own, so its
+    conditions are in the plan once, whatever of the verdict is read."""
+    rungs = ladder()
+    first = F.lit(None).cast("int")
+    for k in range(len(rungs), 0, -1):
+        first = F.when(rungs[k - 1][0], k).otherwise(first)
+    status, confidence, reason = (F.element_at(F.array(*(F.lit(x[k]) for x in rungs)), F.col("__rung")) for k in (1, 2, 3))
+    verdict = F.struct(status.alias("status"), confidence.alias("confidence"), reason.alias("reason"), F.lit(name).alias("verifier"))
+    return asked.withColumn("__rung", first).withColumn("verdict", verdict).drop("__rung")
 
 
 def is_provider_credential() -> Column:

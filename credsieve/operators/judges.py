@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.operators.after import batched, offline_verdict, requests
+from credsieve.operators.after import batched, requests, with_offline_verdict
 from credsieve.plans.config import Config
 
 VERDICT = "struct<status:string,confidence:double,reason:string,verifier:string>"
@@ -120,18 +120,18 @@ def judged_in_batches(asked: DataFrame, judge: Judge, name: str, batch: int = 8,
 
 def offline(asked: DataFrame) -> DataFrame:
     """Requests with the ladder's verdict; no Python and no shuffle."""
-    return asked.withColumn("verdict", offline_verdict()).withColumn("verdict", F.col("verdict").withField("verifier", F.lit("offline")))
+    return with_offline_verdict(asked)
 
 
 def judged(found: DataFrame, config: Config, judge: Judge | None = None, ledger: DataFrame | None = None, name: str = "judge") -> DataFrame:
     """Findings with verdict: by the ledger where it knows them, else by the judge (the offline ladder without one)."""
-    asked = requests(found, config.ai.max_batch, config.ai.max_context_lines, config.ai.send_secret)
     if judge is None and config.ai.command:
         judge, name = command_judge(config.ai.command, config.ai.timeout_seconds), "command"
     if judge is None or config.ai.mode == "off":
         # The ladder runs here and needs the raw values, whatever may be sent elsewhere.
         raw = requests(found, config.ai.max_batch, config.ai.max_context_lines, True)
         return offline(raw).drop("is_test_path", "block_type")
+    asked = requests(found, config.ai.max_batch, config.ai.max_context_lines, config.ai.send_secret)
     keyed = asked.select(*[c for c in asked.columns if c not in found.columns or c in ("unit_id", "ord", "file")])
     hits = None
     if ledger is not None:

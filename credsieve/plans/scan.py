@@ -1,9 +1,8 @@
-"""From units of text to findings: a native screen, the exact scan of what it lets through, and what follows.
+"""From units of text to findings: a screen of lines, the exact scan of those it lets through, and what follows.
 
 A unit is one text that is scanned as a whole: unit_id, path, text, and numbers (of its lines; null: from 1).
-The screen is one projection beside the scan of the table: a condition that every unit with a finding meets,
-built from `contains` and `rlike`, so all other units end in the JVM.  Only units that meet it cross into
-Python, in Arrow batches, without a shuffle.
+Texts cross into Python in Arrow batches, beside the scan of the table and without a shuffle; there a few
+passes over all bytes of a batch find the lines that can hold something, and only these are scanned.
 """
 
 from __future__ import annotations
@@ -15,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.functions.paths import is_credential_file, matches_globs
+from credsieve.functions.paths import matches_globs
 from credsieve.operators.scanner import Scanner, to_bytes_text, to_text
+from credsieve.operators.screen import Screen
 from credsieve.plans import values as V
-from credsieve.plans.catalog import RANKS, for_jvm
+from credsieve.plans.catalog import RANKS
 from credsieve.plans.config import Config
 
 FINDINGS = (
@@ -30,42 +30,6 @@ FINDINGS = (
 PRIVATE = ("secret", "line_text", "context", "related", "decoded")
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def may_hold(config: Config, text: str = "text", path: str = "path") -> Column:
-    """True for every unit that has a finding (and for few others), over the columns of these names.
-
-    One SQL text, as a plan of a thousand column objects takes longer to build than most scans; the lower-cased text
-    is bound to a variable, so it is made once a unit and not once a keyword.
-    """
-
-    def any_of(words: tuple[str, ...]) -> str:
-        return "(" + " OR ".join(f"contains(low, {_literal(w)})" for w in words) + ")"
-
-    def like(pattern: str) -> str:
-        return f"{text} rlike {_literal(pattern)}"
-
-    run = "[A-Za-z0-9+/_-]"
-    words = "(?:pass|pwd|secret|token|cred|key|salt|auth)"
-    def matched(pattern: str) -> str:
-        # A line beyond the scanner's bytes ends for it where it is cut, so an end can't be told from the text.
-        ended = any(x in pattern for x in ("$", "\\Z", "\\z"))
-        found = like(for_jvm(pattern, lines=True))
-        return f"({found} OR octet_length({text}) > {V.LINE_BYTES})" if ended else found
-
-    tests = [f"({any_of(r.keywords) if r.keywords else 'true'} AND {matched(r.pattern)})" for r in config.active_rules()]
-    bound = like(rf"""(?i){words}[\w.\-]*["'`]?\]?\s*(?::=|=|!=|:|,)|<[^<>\s]*{words}[^<>]*>|\b(?:password|passwd|passphrase)[ \t]""")
-    tests.append(f"({any_of(V.CREDENTIAL_WORDS)} AND {bound})")
-    tests.append(f"(contains(low, '://') AND contains(low, '@') AND {like(r'://[^\s/]+:[^\s/]+@')})")
-    tests.append(f"({any_of(('log', 'sign', 'auth', 'cred'))} AND {like(for_jvm(V.LOGIN_CALL))})")
-    tests.append(f"({like(run + '{16,}')} AND {like(f'(?<!{run})(?=[A-Za-z_-]*[0-9+/=]){run}{{16,}}|{run}{{16,}}=')})")
-    if config.scan.max_decode_depth:
-        tests.append(like(r"%[0-9A-Fa-f]{2}[^\n]*%|\\u[0-9a-fA-F]{4}"))
-    return F.expr(f"exists(array(lower({text})), low -> {' OR '.join(tests)})") | is_credential_file(F.col(path))
-
-
 def gated(files: DataFrame, config: Config) -> DataFrame:
     """Files (path, length, content) that are scanned: not ignored, not too large, not binary."""
     kept = files.where(
@@ -92,27 +56,45 @@ def units_of_table(table: DataFrame, id_col: str, text_col: str, path: Column |
     )
 
 
+#: Bytes of input below which nothing is dealt anew, and below which a core may find no file split of its own.
+LEAST_DEALT, SPLIT_BYTES = 4 << 20, 64 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a table too small to give every core a split (a file is split between row groups only) dealt over all
+    cores; larger ones as they are, without a shuffle.  The size is the optimizer's estimate."""
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if LEAST_DEALT <= size < cores * SPLIT_BYTES else rows
+
+
 def findings(units: DataFrame, config: Config | None = None) -> DataFrame:
     """All findings of the units, before collapsing and judging."""
     from credsieve.sources.shipping import ship_package
 
     config = config or Config()
     ship_package(units.sparkSession)
-    wanted = units.where(F.col("text").isNotNull() & ~matches_globs(F.col("path"), config.allowlist.paths))
-    wanted = wanted.where(may_hold(config)).select("unit_id", "path", "text", "numbers")
+    wanted = dealt(units).where(F.col("text").isNotNull() & ~matches_globs(F.col("path"), config.allowlist.paths))
+    wanted = wanted.select("unit_id", "path", "numbers", "text")
     options = dataclasses.asdict(config)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(_rebuilt(options))
+        made = _rebuilt(options)
+        scanner, screen = Scanner(made), Screen(made)
         schema = None
         for batch in batches:
             rows = []
-            for unit, path, text, numbers in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            paths, texts = batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()
+            for place, wanted_lines in screen.rows(paths, texts):
+                unit, numbers = batch.column(0)[place].as_py(), batch.column(2)[place].as_py()
+                path, text = paths[place], texts[place].decode("utf-8", "surrogatepass")
                 if numbers is None:
-                    found = scanner.scan(path, text)
+                    found = scanner.scan(path, text, wanted_lines)
                 else:
                     lines = [x.removesuffix("\r") for x in to_bytes_text(text).split("\n")]
-                    found = scanner.scan_lines(path, list(zip(numbers, lines, strict=False)))
+                    found = scanner.scan_lines(path, list(zip(numbers, lines, strict=False)), wanted_lines)
                 for k, f in enumerate(found):
                     rows.append(
                         (unit, path, k, f.rule_id, f.description, f.severity, RANKS[f.severity], list(f.tags), f.line, f.column, f.end_column,
@@ -157,4 +139,4 @@ def native_sweep(lines: DataFrame, config: Config | None = None) -> DataFrame:
     return scored.where(F.col("entropy") >= least).withColumn("severity", F.when(near, "high").otherwise("medium"))
 
 
-__all__ = ["PRIVATE", "findings", "gated", "may_hold", "native_sweep", "public", "units_of_files", "units_of_table"]
+__all__ = ["PRIVATE", "dealt", "findings", "gated", "native_sweep", "public", "units_of_files", "units_of_table"]

@@ -615,52 +615,35 @@ def decode_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT l_orderkey AS unit_id, CAST(l_linenumber AS INT) AS idx, CAST(l_quantity AS INT) AS start_b, CAST(l_quantity AS INT) + 10 AS end_b, l_suppkey % 2 AS stage FROM lineitem WHERE l_quantity = floor(l_quantity))
+    WITH s AS (SELECT l_orderkey AS unit_id, CAST(l_linenumber AS INT) AS idx, CAST(floor(l_quantity) AS INT) AS start_b, CAST(floor(l_quantity) AS INT) + 10 AS end_b, l_suppkey % 2 AS stage FROM lineitem)
     SELECT unit_id, idx, start_b, end_b FROM s a WHERE stage = 1 AND NOT EXISTS
         (SELECT 1 FROM s b WHERE b.stage = 0 AND a.unit_id = b.unit_id AND a.idx % 2 = b.idx % 2 AND a.start_b < b.end_b AND a.end_b > b.start_b)
 """)
 def span_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity = floor(l_quantity)")
-    spans = rows.select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").cast("int").alias("idx"), (F.col("l_linenumber") % 2).alias("half"), F.col("l_quantity").cast("int").alias("start_b"), (F.col("l_quantity").cast("int") + 10).alias("end_b"), (F.col("l_suppkey") % 2).alias("stage"))
+    rows = table(spark, sf_dir, "lineitem")
+    spans = rows.select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").cast("int").alias("idx"), (F.col("l_linenumber") % 2).alias("half"), F.floor("l_quantity").cast("int").alias("start_b"), (F.floor("l_quantity").cast("int") + 10).alias("end_b"), (F.col("l_suppkey") % 2).alias("stage"))
     later, claimed = spans.where("stage = 1"), spans.where("stage = 0")
     return lines.without_overlaps(later, claimed, ("unit_id", "half")).select("unit_id", "idx", "start_b", "end_b")
 
 
-@query(f"""
-    WITH l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, substr(regexp_replace(text, '[^ -~]|\\s', ' ', 'g'), 1, 300) AS text FROM conversations),
-    c AS (SELECT conv_id, number, list({{'n': m.number, 't': m.number || ': ' || CASE WHEN length(m.text) > 200 THEN substr(m.text, 1, 200) || '…' ELSE m.text END || chr(10)}} ORDER BY m.number) AS p
-          FROM l JOIN (SELECT conv_id AS c2, number AS number, text AS text FROM l) m ON l.conv_id = m.c2 AND m.number BETWEEN l.number - 3 AND l.number + 3 GROUP BY conv_id, l.number)
-    SELECT conv_id, CAST(number AS INT) AS number, regexp_replace(array_to_string(list_transform(p, lambda e: e.t), ''), '\\n$', '') AS context FROM c WHERE len(p) <= 5
-""".replace("SELECT conv_id, number, list(", "SELECT conv_id, l.number AS number, list("))
+@query(r"""
+    WITH l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, regexp_replace(text, '[^ -~]|\s', ' ', 'g') AS text FROM conversations),
+    p AS (SELECT a.conv_id, a.number, m.number AS k, m.number || ': ' || CASE WHEN length(m.text) > 200 THEN substr(m.text, 1, 200) || '…' ELSE m.text END || chr(10) AS t
+          FROM l a JOIN l m ON a.conv_id = m.conv_id AND m.number BETWEEN a.number - 3 AND a.number + 3),
+    s AS (SELECT *, sum(strlen(t)) OVER (PARTITION BY conv_id, number ORDER BY k) AS size FROM p)
+    SELECT conv_id, CAST(number AS INT) AS number, regexp_replace(string_agg(t, '' ORDER BY k), '\n$', '') AS context FROM s WHERE size <= 1500 GROUP BY conv_id, number
+""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of at most five lines here, so that none meets the limit of bytes."""
-    rows = table(spark, sf_dir, "conversations").withColumn("idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
-    rows = rows.select("conv_id", "idx", (F.col("idx") + 1).alias("number"), F.substring(F.regexp_replace("text", r"[^ -~]|\s", " "), 1, 300).alias("text"))
-    near = F.count(F.lit(1)).over(Window.partitionBy("conv_id").orderBy("idx").rowsBetween(-3, 3))
-    return lines.with_context(rows, "conv_id").withColumn("near", near).where("near <= 5").select("conv_id", "number", "context")
-
-
-@query()
-def context_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines with their whole windows, from whole texts; held against brute force in the tests."""
+    """All lines with their whole windows, from whole texts."""
     rows = table(spark, sf_dir, "conversations").withColumn("idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
     rows = rows.select("conv_id", "idx", (F.col("idx") + 1).alias("number"), F.regexp_replace("text", r"[^ -~]|\s", " ").alias("text"))
     return lines.with_context(rows, "conv_id").select("conv_id", "number", "context")
 
 
 @query("""
-    SELECT o_orderkey AS k, 'user=u' || o_custkey || ' (line 1); host=h' || o_orderkey || ' (line 3)' AS related FROM orders WHERE o_orderkey % 20 = 0
+    SELECT o_orderkey AS k, 'user=u' || o_custkey || ' (line 1); host=h' || o_orderkey || ' (line 3)' AS related FROM orders
 """)
 def related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("user = u"), F.col("o_custkey").cast("string"), F.lit('\npassword = "'), F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 14), F.lit('"\nhost = h'), F.col("o_orderkey").cast("string"))
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", text.alias("text"))
-    found = findings(units_of_table(rows, "o_orderkey", "text", F.lit("app.conf"))).where("rule_id = 'generic-password-assignment'")
-    return found.select(F.col("unit_id").cast("long").alias("k"), "related")
-
-
-@query()
-def related_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all orders; held against brute force in the tests."""
     text = F.concat(F.lit("user = u"), F.col("o_custkey").cast("string"), F.lit('\npassword = "'), F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 14), F.lit('"\nhost = h'), F.col("o_orderkey").cast("string"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
     found = findings(units_of_table(rows, "o_orderkey", "text", F.lit("app.conf"))).where("rule_id = 'generic-password-assignment'")
@@ -844,13 +827,12 @@ def files_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- metrics --------------------------------------------------------------------------------------------------
 
-_LABELS = "SELECT 'p' || (o_orderkey % 300) AS path, o_custkey % 400 AS start, o_custkey % 400 + 3 AS stop, CASE o_orderkey % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'F' ELSE 'X' END AS label FROM orders WHERE o_orderkey % 4 = 0"
+_LABELS = "SELECT 'p' || (o_orderkey % 300) AS path, o_custkey % 400 AS start, o_custkey % 400 + 3 AS stop, CASE o_orderkey % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'F' ELSE 'X' END AS label FROM orders"
 _HITS = "SELECT 'p' || (p_partkey % 300) AS path, p_partkey % 400 AS lo, p_partkey % 400 + 1 AS hi, p_partkey AS id FROM part"
 
 
-def _hits_and_labels(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders").where("true" if whole else "o_orderkey % 4 = 0")
-    marks = orders.selectExpr(
+def _hits_and_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    marks = table(spark, sf_dir, "orders").selectExpr(
         "concat('p', o_orderkey % 300) AS path", "o_custkey % 400 AS start", "o_custkey % 400 + 3 AS `end`", "CASE o_orderkey % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'F' ELSE 'X' END AS label"
     )
     hits = table(spark, sf_dir, "part").selectExpr("concat('p', p_partkey % 300) AS path", "p_partkey % 400 AS lo", "p_partkey % 400 + 1 AS hi", "p_partkey AS id")
@@ -877,20 +859,6 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hits", "judged", "true_found", "all_true", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-@query()
-def label_interval_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of all orders; held against brute force in the tests."""
-    hits, marks = _hits_and_labels(spark, sf_dir, whole=True)
-    return metrics.labelled(hits, marks).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def precision_recall_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of all orders; held against brute force in the tests."""
-    rows = metrics.precision_recall(*_hits_and_labels(spark, sf_dir, whole=True))
-    return rows.select("hits", "judged", "true_found", "all_true", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
-
-
 @query("""
     WITH e AS (SELECT o_orderkey, count(*) AS expected FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1), f AS (SELECT l_orderkey, count(*) AS found FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
     SELECT CAST(sum(least(coalesce(found, 0), expected - 1)) AS BIGINT) AS covered, CAST(sum(expected - 1) AS BIGINT) AS expected, count(*) FILTER (coalesce(found, 0) > 0 AND expected > 1) AS files_covered,

@@ -11,7 +11,8 @@ from credsieve.operators import after, judges
 from credsieve.operators.scanner import Scanner
 from credsieve.plans import catalog, config
 from credsieve.plans.engine import Engine
-from credsieve.plans.scan import findings, gated, may_hold
+from credsieve.operators.screen import RUN, Screen, sure_run
+from credsieve.plans.scan import findings, gated
 from credsieve.sources import inputs
 
 
@@ -86,9 +87,10 @@ def test_related_fields_are_the_nearest():
 
 def test_every_finding_passes_the_screen(spark):
     units = [(str(k), p, t, None) for k, (p, t, _, _) in enumerate(POSITIVE)]
-    units += [("k", "a.conf", f"value {drawn(40, HEX)}", None), ("p", "a.py", "x" * 30, None), ("n", "a.py", None, None)]
+    units += [("k", "a.conf", f"value {drawn(40, HEX)}", None), ("p", "a.py", "plain words of a text, and no more", None), ("n", "a.py", None, None)]
     df = spark.createDataFrame(units, "unit_id string, path string, text string, numbers array<int>")
-    passed = {r[0] for r in df.where(may_hold(config.Config())).select("unit_id").collect()}
+    texts = [(u, p, t.encode()) for u, p, t, _ in units if t]
+    passed = {texts[k][0] for k, _ in Screen(config.Config()).rows([x[1] for x in texts], [x[2] for x in texts])}
     expected = {u for u, p, t, _ in units if t and Scanner().scan(p, t)}
     assert expected <= passed and "p" not in passed
     found = {(r["unit_id"], r["rule_id"], r["secret"]) for r in findings(df).collect()}
@@ -253,3 +255,19 @@ def test_custom_rules_with_anchors_match_lines(spark):
     exact = {str(k) for k, x in enumerate(texts) if any(f.rule_id == "own" for f in Scanner(own).scan("a.txt", x))}
     assert exact == {"0", "1", "2", "3"}
     assert {r["unit_id"] for r in findings(units, own).where("rule_id = 'own'").collect()} == exact
+
+
+def test_sure_runs_follow_from_patterns():
+    table = {r"\b(gh[po]_[A-Za-z0-9]{36})\b": 40, r"[a-z]+x{3}": 4, r"(?:ab|[0-9]{4})c": 3, r"a.b{20}": 20, r"(?i)key\s*=\s*([A-Z]{8,})": 8, r"(ab){3,}": 6, r"(?:a|b-c)?d": 1, r"[^x]{30}": 0, r"(?:x\.){20}y{2}": 2}
+    assert {p: sure_run(p) for p in table} == table
+    assert all(sure_run(r.pattern) >= RUN or r.keywords for r in catalog.builtin())
+
+
+def test_screen_over_joined_texts():
+    """Runs don't reach over the ends of texts, and lines are counted within each text."""
+    screen = Screen(config.Config())
+    texts = [b"a" * 12, b"b" * 12 + b"\n\nx\npassword = 1", b"", b"\n" + b"7" * 16, b"plain", b"q" * 15 + b"\n" + b"q" * 3]
+    assert list(screen.rows(["a.txt"] * 6, texts)) == [(1, [3]), (3, [1])]
+    assert list(screen.rows(["a.txt", "x/passwords.txt"], [b"", b"plain\nwords"])) == [(1, None)]
+    own = config.from_toml("[[rules.custom]]\nid = 'own'\nregex = '[xyz]{4}!'\n")
+    assert list(Screen(own).rows(["a.txt"], [b"plain"])) == [(0, None)]

@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL, and the byte limit of windows, against brute force."""
+"""Queries over whole tables, and the byte limit of windows, against brute force."""
 
 import re
 from collections import Counter, defaultdict
@@ -25,7 +25,7 @@ def test_context_of_all_lines(spark):
     for r in spark.read.parquet(f"{SMALL}/conversations.parquet").orderBy("conv_id", "turn").collect():
         convs[r["conv_id"]].append((len(convs[r["conv_id"]]) + 1, re.sub(r"[^ -~]|\s", " ", r["text"])))
     expected = {(c, n): window_by_hand(rows, k) for c, rows in convs.items() for k, (n, _) in enumerate(rows)}
-    found = {(r["conv_id"], r["number"]): r["context"] for r in QUERIES["context_window_whole"](spark, SMALL).collect()}
+    found = {(r["conv_id"], r["number"]): r["context"] for r in QUERIES["context_window"](spark, SMALL).collect()}
     assert found == expected and max(map(len, convs.values())) > 5
 
 
@@ -41,7 +41,7 @@ def test_context_stops_at_its_bytes(spark):
 def test_related_of_all_orders(spark):
     orders = spark.read.parquet(f"{SMALL}/orders.parquet").select("o_orderkey", "o_custkey").collect()
     expected = {o: f"user=u{c} (line 1); host=h{o} (line 3)" for o, c in orders}
-    found = QUERIES["related_topk_whole"](spark, SMALL).collect()
+    found = QUERIES["related_topk"](spark, SMALL).collect()
     assert len(found) == len(orders) and dict(map(tuple, found)) == expected
 
 
@@ -52,9 +52,9 @@ def test_labels_of_all_orders(spark):
     hits = [(p % 300, p % 400, p % 400 + 1) for (p,) in spark.read.parquet(f"{SMALL}/part.parquet").select("p_partkey").collect()]
     best = [max((r for a, b, r in marks[path] if a <= hi and lo <= b), default=0) for path, lo, hi in hits]
     labels = Counter(("none", "X", "F", "T")[x] for x in best)
-    assert {r["label"]: r["n"] for r in QUERIES["label_interval_score_whole"](spark, SMALL).collect()} == labels
+    assert {r["label"]: r["n"] for r in QUERIES["label_interval_score"](spark, SMALL).collect()} == labels
     true = [(path, a, b) for path, x in marks.items() for a, b, r in x if r == 3]
     met = sum(any(path == p and a <= hi and lo <= b for p, lo, hi in hits) for path, a, b in true)
-    got = QUERIES["precision_recall_whole"](spark, SMALL).first()
+    got = QUERIES["precision_recall"](spark, SMALL).first()
     judged = labels["T"] + labels["F"]
     assert tuple(got) == (labels["T"], judged, met, len(true), round(labels["T"] / judged, 9) if judged else None, round(met / len(true), 9))
