@@ -147,9 +147,15 @@ def examples(
     return dealt.mapInArrow(work, schema)
 
 
-def read_back(made: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+def read_back(made: DataFrame, conv_col: str = "conv_id", ordered: bool = False) -> DataFrame:
     """What the examples say, one row a conversation: its id, n_turns, turns_sha256, loss_chars, loss_sha256 and
-    formatted_chars.  Examples of a conversation follow each other in the output of `examples`; one is held at a time."""
+    formatted_chars; one example is held at a time.
+
+    `ordered` says that the examples of a conversation follow each other, as straight behind `examples` they do; others
+    are dealt by conversation and sorted first.  Examples that miss or stand elsewhere after all are an error.
+    """
+    if not ordered:
+        made = made.repartition(conv_col).sortWithinPartitions(conv_col, "example")
     schema = T.StructType(
         [
             T.StructField(conv_col, made.schema[0].dataType),
@@ -162,10 +168,13 @@ def read_back(made: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, loss_chars, chars = hashlib.sha256(), 0, 0
+        loss, loss_chars, chars, before, due = hashlib.sha256(), 0, 0, None, 0
         for batch in batches:
             rows = []
-            for conv, text, begin, end, last in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
+            for conv, k, text, begin, end, last in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if k != due or (k and conv != before):
+                    raise ValueError(f"example {k} of conversation {conv} is out of order")
+                before, due = conv, 0 if last else k + 1
                 trained = unescape(text[begin:end])
                 loss.update(trained.encode())
                 loss_chars += len(trained)

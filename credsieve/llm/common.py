@@ -20,7 +20,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE, HOT_ROWS = 0.001, 1000
 
 
-__all__ = ["HOT_ROWS", "HOT_SHARE", "SPACES", "WORD", "hot_rows", "lookup", "plain_text", "shared_folder", "ship_package", "stored", "unstored"]
+__all__ = ["HOT_ROWS", "HOT_SHARE", "SPACES", "WORD", "hot_rows", "lookup", "numbered", "plain_text", "quoted", "shared_folder", "ship_package", "stored", "unstored"]
+
+
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with names that mapInArrow takes, whatever its columns are called."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
 
 
 def plain_text(df: DataFrame, name: str) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import SPACES, hot_rows, plain_text, stored
+from credsieve.llm.common import SPACES, hot_rows, plain_text, quoted, stored
 
 #: Bits for each row, and the most bits: what is broadcast never exceeds 2**21 words of 16 bytes.
 BITS_PER_ROW, MOST_BITS, LEAST_BITS = 16, 1 << 27, 1 << 10
@@ -138,7 +138,7 @@ def drop_duplicates(
     groups, words, bits, total = _groups(_keys(docs, id_col, text_col), most_bits)
     columns = [F.col(f"__row.`{x}`").alias(x) for x in docs.columns]
     rows = docs.select(
-        F.struct(*docs.columns).alias("__row"),
+        F.struct(*map(quoted, docs.columns)).alias("__row"),
         F.col(id_col).alias("__id"),
         F.unhex(text_sha256(docs, text_col)).alias("__sha"),
     )

@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
 Rows get hash-random keys and are ranged by key within their source; distributed prefix sums of the
-word counts (first over ranges of keys, then within the one range that holds the cut) find each
-source's cut, exact to the word; whole epochs repeat before it.  As keys decide, each row's share
+word counts find each source's cut, exact to the word: over 256 ranges of keys, then over the 256 parts
+of the one range that holds the cut, and so on down to RANGE_ROWS rows, so no step orders more rows of
+a source than that, however many it has.  Whole epochs repeat before the cut.  As keys decide, each row's share
 follows from its source's cut alone: texts never shuffle.
 
 Sources in order of code points, null last, weigh 5, 2, 1, repeating, and share `share` times all
@@ -19,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import SPACES, WORD, hot_rows, lookup, plain_text, stored
+from credsieve.llm.common import SPACES, WORD, hot_rows, lookup, plain_text, quoted, stored
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix"
-#: Rows of a range of keys, and the most ranges (16 bits of the key).
-RANGE_ROWS, RANGE_BITS = 4096, 16
+#: Rows of a range of keys that are put in order at once, and digits of the key by which ranges are split (256 parts).
+RANGE_ROWS, DIGITS = 256, 2
 #: Sources up to which the table of cuts (about 100 bytes each) is broadcast, and rows of a part when they are ranked.
 FEW_SOURCES = 50_000
 
@@ -83,12 +84,7 @@ def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: st
 def cuts(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row for each source of the stored `rows`: __s, source_size, target, __epochs, __cut (key), __part and
     __group (words of the cut's rows that are taken, and all of them), n (rows)."""
-    total = rows.count()
-    bits = 0
-    while bits < RANGE_BITS and total >> bits > RANGE_ROWS:
-        bits += 1
-    grain = F.shiftright(F.conv(F.substring("__key", 1, 4), 16, 10).cast("int"), RANGE_BITS - bits)
-    ranged = rows.withColumn("__range", grain)
+    ranged = rows.withColumn("__range", F.substring("__key", 1, DIGITS))
     sums = stored(ranged.groupBy("__s", "__range").agg(F.sum("size").alias("words"), F.min("__source").alias("__source"), F.count(F.lit(1)).alias("n")), "ranges")
     sources = sums.groupBy("__s").agg(F.sum("words").alias("source_size"), F.min("__source").alias("__source"), F.sum("n").alias("n"))
     plan = _targets(sources, weights, share, most).withColumn("__budget", F.floor(F.col("target") + 0.5).cast("long"))
@@ -107,9 +103,18 @@ def cuts(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
         so_far = F.sum("words").over(Window.partitionBy("__s").orderBy(order)) - F.col("words")
         return parts.withColumn("__left", F.col("__rest") - so_far).where("__left >= 0 and __left < words")
 
-    at = crossed(sums.select("__s", "__range", "words").join(small(plan.select("__s", "__rest")), "__s"), "__range")
-    at = stored(at.select("__s", "__range", F.col("__left").alias("__rest")), "cut_ranges")
-    inside = ranged.join(small(at), ["__s", "__range"]).groupBy("__s", "__rest", "__key").agg(F.sum("size").alias("words"))
+    at = sums.select("__s", "__range", "words", "n").join(small(plan.select("__s", "__rest")), "__s")
+    digits = DIGITS
+    while True:
+        at = crossed(at, "__range").select("__s", "__range", F.col("__left").alias("__rest"), F.col("n").alias("rows"))
+        at = stored(at, "cut_ranges")
+        here = rows.withColumn("__range", F.substring("__key", 1, digits)).join(small(at), ["__s", "__range"])
+        if digits >= 32 or (at.agg(F.max("rows")).first()[0] or 0) <= RANGE_ROWS:
+            break
+        digits += DIGITS
+        parts = here.withColumn("__range", F.substring("__key", 1, digits)).groupBy("__s", "__rest", "__range")
+        at = parts.agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    inside = here.groupBy("__s", "__rest", "__key").agg(F.sum("size").alias("words"))
     cut = crossed(inside, "__key").select(
         "__s", F.col("__key").alias("__cut"), F.col("__left").alias("__part"), F.col("words").alias("__group")
     )
@@ -159,7 +164,7 @@ def mixed(
 ) -> DataFrame:
     """The rows of the mix, with the columns of `docs`: one for each whole epoch, and one for the last, partial epoch,
     whose text at the cut is its first words."""
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), "*")
+    whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("__row"), quoted(id_col), quoted(source_col), quoted(text_col))
     keyed = sized(whole, id_col, source_col, text_col, seed, "__row").drop(id_col)
     rows = stored(keyed.drop("__row"), "sizes")
     found = _with_taken(keyed, cuts(rows, weights, share, most), rows.count())
@@ -169,5 +174,5 @@ def mixed(
     text = F.col("__row")[text_col]
     words = F.regexp_extract_all(text, F.lit(f"(?:{SPACES})?{WORD}"), F.lit(0))
     first = F.concat_ws("", F.slice(words, 1, F.greatest("__extra", F.lit(1)).cast("int")))
-    columns = [F.col("__row")[x].alias(x) for x in docs.columns if x != text_col]
-    return each.select(*columns, F.when(cut, first).otherwise(text).alias(text_col)).select(*docs.columns)
+    columns = [F.col("__row").getField(x).alias(x) for x in docs.columns if x != text_col]
+    return each.select(*columns, F.when(cut, first).otherwise(text).alias(text_col)).select(*map(quoted, docs.columns))

@@ -145,8 +145,8 @@ def labelled_sample(
 
 
 def fold(id_col: str, parts: int) -> Column:
-    """crc32 of the id as text, modulo `parts`."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo `parts`; -1 for a null id, which no fold holds out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE) -> Machine:

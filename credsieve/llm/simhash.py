@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credsieve.llm.common import hot_rows, lookup, plain_text, ship_package, stored
+from credsieve.llm.common import hot_rows, lookup, numbered, plain_text, quoted, ship_package, stored
 
 SHINGLE, RADIUS, SEED, BLOCK = 3, 2, 42, 1 << 16
 
@@ -152,7 +152,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stay = stay.where(F.col("n").isNotNull() & F.col("__id").eqNullSafe(F.col("__best")))
     stay = stored(stay.groupBy("__fp").agg(F.min("__key").alias(key)).select(key), "stay")
     dropped = stored(rows.select(F.col("__key").alias(key)).join(stay, key, "left_anti"), "dropped")
-    return docs.join(dropped, key, "left_anti").select(*kept)
+    return docs.join(dropped, key, "left_anti").select(*map(quoted, kept))
 
 
 def _unused(name: str, taken: list[str]) -> str:
@@ -175,4 +175,4 @@ def _keyed(docs: DataFrame, text_col: str, key: str, fp: str) -> DataFrame:
                 [*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], names=schema.names
             )
 
-    return rows.mapInArrow(work, schema).withColumn(key, F.monotonically_increasing_id())
+    return numbered(rows).mapInArrow(work, schema).withColumn(key, F.monotonically_increasing_id())

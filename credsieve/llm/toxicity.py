@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credsieve.llm.common import plain_text, ship_package
+from credsieve.llm.common import numbered, plain_text, ship_package
 from credsieve.llm.quality import fold, labelled_sample
 
 __all__ = ["fit", "fold", "restored_words", "scores"]
@@ -448,4 +448,4 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", threshold
                 names=schema.names,
             )
 
-    return docs.mapInArrow(work, schema)
+    return numbered(docs).mapInArrow(work, schema)
