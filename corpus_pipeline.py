@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.llm import exact_dedup, mixing, packing, simhash, toxicity
-from credsieve.llm.common import stored
+from credsieve.llm.common import quoted, stored
 from credsieve.llm.queries import tokenizer_path
 
 
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score says that label 1 is less likely than the threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, learn=toxicity.fold("doc_id", 3) != 1)
-    return toxicity.with_scores(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.with_scores(docs, model).where(F.col("predicted") == 0).select(*map(quoted, docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(docs)
     if "n_chars" not in docs.columns:
         return mix
-    return mix.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return mix.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)).select(*map(quoted, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
