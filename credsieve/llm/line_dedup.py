@@ -9,7 +9,7 @@ The join: tokens are put in order from rare to frequent; two sets can only be si
 prefixes (the first n - ceil(threshold * n) + 1 tokens) share a token, their sizes are near (length
 filter), enough tokens are left behind the first shared one (positional filter), and the 128
 parities of their tokens differ in no more bits than their sets may differ in tokens.  Candidates
-that pass are verified on their whole sets.  A token that occurs once can't be shared and is left out.
+that pass, and that 256 further parities allow, are verified on their whole sets.  A token that occurs once can't be shared and is left out.
 
 Groups of near copies would pass all filters with all their pairs.  So each class is first held
 against the earliest class with the same smallest and largest hashes (three keys), which settles
@@ -17,9 +17,9 @@ nearly all of such a group in linear time; only classes that this leaves open lo
 the join, and find all.  Nothing is capped, so no match is lost.
 
 Rarity comes from counts of hashed tokens over all lines (2**COUNT_BITS counters, which is what is
-broadcast); any order gives the same result.  Classes are numbered in the order of their first
-lines, so what shuffles for each token of a prefix is five numbers; the self-join reads one shuffle
-twice.  Whole sets are read from the texts, of lines that a Bloom filter of the candidates' places
+broadcast); any order gives the same result.  What shuffles for each token of a prefix is five
+numbers, and the self-join reads one shuffle twice; which of two similar classes stands earlier is
+asked for such pairs only.  Whole sets are read from the texts, of lines that a Bloom filter of the candidates' places
 lets through (2**BLOOM_BITS bits at most; beyond, more sets shuffle, with the same result).  Tokens
 are compared by 64-bit and classes by 128-bit hashes.
 
@@ -47,6 +47,7 @@ REMEMBERED = 1 << 20
 #: Bytes of text that are hashed at once, counters of a page, rows of numbers that are broadcast at most.
 BLOCK, PAGE, FEW = 1 << 18, 1 << 14, 1 << 20
 
+_MORE = ("q0", "q1", "q2", "q3")
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 _SPACE, _NEWLINE = np.zeros(256, bool), 10
@@ -189,7 +190,7 @@ def _counts(rows: DataFrame, bits: int) -> np.ndarray:
 
 def _lines(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
     """Each line with words: __id, __doc, line, c0 and c1 (its class); the first of a class in a worker also has n (its
-    tokens), p0 and p1 (parities), keys, prefix (tokens) and places (theirs)."""
+    tokens), p0 and p1 (parities), q0 to q3 (more of them), keys, prefix (tokens) and places (theirs)."""
     sent = rows.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def _lines(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
                 cells = [batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), *(pa.array(x.view(np.int64)) for x in (c0, c1))]
                 yield pa.RecordBatch.from_arrays([*cells, *_payload(found, begin, n, fresh, table, shift, threshold)], names=schema.names)
 
-    more = "n int, p0 long, p1 long, keys array<bigint>, prefix array<bigint>, places array<int>"
+    more = "n int, p0 long, p1 long, q0 long, q1 long, q2 long, q3 long, keys array<bigint>, prefix array<bigint>, places array<int>"
     schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("line int, c0 long, c1 long, " + more).fields])
     return rows.mapInArrow(work, schema)
 
@@ -235,14 +236,17 @@ def _upto(texts: list[bytes], data: bytes) -> int:
 
 
 def _payload(found: np.ndarray, begin: np.ndarray, n: np.ndarray, fresh: np.ndarray, table: np.ndarray, shift: np.uint64, threshold: float) -> list[pa.Array]:
-    """n, p0, p1, keys, prefix and places of the lines that are `fresh`; null for others."""
+    """n, p0 to q3, keys, prefix and places of the lines that are `fresh`; null for others."""
     none = ~fresh
-    bit, half = U(1) << (found & U(63)), (found >> U(6)) & U(1) == 1  # each token has one of 128 bits
-    p0, p1 = (np.bitwise_xor.reduceat(np.where(x, bit, U(0)), begin) for x in (half, ~half))
-    turned = (found << U(32)) | (found >> U(32))
-    low, high = found[begin], found[begin + n - 1]
-    low2, high2 = np.minimum.reduceat(turned, begin), np.maximum.reduceat(turned, begin)
-    keys = np.stack([mixed(low ^ mixed(high)), mixed(low2 ^ mixed(high2)), mixed(low ^ mixed(low2))], axis=1)[fresh].ravel()
+    bit = U(1) << (found & U(63))
+    parts = [(found >> U(6)) & U(1) == k for k in (0, 1)] + [(found >> U(7)) & U(3) == k for k in range(4)]
+    bits = [bit] * 2 + [U(1) << ((found >> U(9)) & U(63))] * 4  # of 128 bits each token has one, and of 256 others one
+    parities = [np.bitwise_xor.reduceat(np.where(x, y, U(0)), begin) for x, y in zip(parts, bits, strict=True)]
+    keys = []
+    for turn in (0, 21, 42):
+        turned = (found << U(turn)) | (found >> U(64 - turn)) if turn else found
+        keys.append(mixed(np.minimum.reduceat(turned, begin) ^ mixed(np.maximum.reduceat(turned, begin))))
+    keys = np.stack(keys, axis=1)[fresh].ravel()
     kept = np.repeat(fresh, n)
     tokens, sizes = found[kept], n[fresh]
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -260,8 +264,7 @@ def _payload(found: np.ndarray, begin: np.ndarray, n: np.ndarray, fresh: np.ndar
 
     return [
         pa.array(n.astype(np.int32), mask=none),
-        pa.array(p0.view(np.int64), mask=none),
-        pa.array(p1.view(np.int64), mask=none),
+        *(pa.array(x.view(np.int64), mask=none) for x in parities),
         spread(3 * np.arange(len(sizes) + 1), pa.array(keys.view(np.int64))),
         spread(ends, pa.array(tokens[order][use].view(np.int64))),
         spread(ends, pa.array(rank[use].astype(np.int32))),
@@ -279,10 +282,29 @@ def _may_match(a: dict[str, Column], b: dict[str, Column], threshold: float, pla
     return near & (differ <= n + m - 2 * least)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast if its rows, of a few numbers each, are at most FEW; dealt by key otherwise."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _near_enough(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """The stored `pairs` whose 256 further parities allow that they are similar."""
+    marks = known.select("row", "n", *_MORE)
+    needed = pairs.select("row").union(pairs.select(F.col("other").alias("row"))).distinct()
+    marks = stored(marks.join(_few(needed), "row", "left_semi"), "marks")
+    side = _few(marks)
+    met = pairs.join(side, "row").join(side.select(F.col("row").alias("other"), *(F.col(x).alias(f"o_{x}") for x in ("n", *_MORE))), "other")
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"o_{x}"))) for x in _MORE), F.lit(0))
+    most = (F.col("n") + F.col("o_n")) * F.lit(1 - 2 * threshold / (1 + threshold)) + F.lit(1e-9)
+    found = stored(met.where(differ <= most).select("row", "other"), "near_enough")
+    unstored(marks, pairs)
+    return found
+
+
 def _verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The classes of `pairs` (no, other) whose whole sets are similar; sets come from the first line of each class."""
-    needed = pairs.select("no").union(pairs.select("other")).distinct()
-    places = stored(heads.join(needed, "no").select("no", "__id", "__doc", "line"), "places")
+    """Of each of the `pairs` of classes (row, other) whose whole sets are similar, the one that stands later."""
+    needed = pairs.select("row").union(pairs.select("other")).distinct()
+    places = stored(heads.join(_few(needed), "row").select("row", "__id", "__doc", "line"), "places")
     bits = 10
     while bits < BLOOM_BITS and 1 << bits < 16 * places.count():
         bits += 1
@@ -324,11 +346,13 @@ def _verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame, threshold: fl
     schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("line int, tokens array<bigint>").fields])
     here = rows.mapInArrow(work, schema).toDF("r_id", "r_doc", "r_line", "tokens")
     same = F.col("__id").eqNullSafe(F.col("r_id")) & (F.col("__doc") == F.col("r_doc")) & (F.col("line") == F.col("r_line"))
-    sets = stored(places.join(here, same).select("no", "tokens").dropDuplicates(["no"]), "sets")
-    both = pairs.join(sets, "no").join(sets.select(F.col("no").alias("other"), F.col("tokens").alias("others")), "other")
+    at = F.struct(F.col("__id").isNull().alias("none"), "__id", "__doc", "line").alias("at")
+    sets = stored(places.join(here, same).select("row", at, "tokens").dropDuplicates(["row"]), "sets")
+    both = pairs.join(sets, "row").join(sets.select(F.col("row").alias("other"), F.col("at").alias("o_at"), F.col("tokens").alias("others")), "other")
     common = F.size(F.array_intersect("tokens", "others"))
     whole = F.size("tokens") + F.size("others") - common
-    found = stored(both.where(common >= F.lit(threshold) * whole - F.lit(1e-9)).select("no").distinct(), "verified")
+    later = F.when(F.col("at") > F.col("o_at"), F.col("row")).otherwise(F.col("other")).alias("row")
+    found = stored(both.where(common >= F.lit(threshold) * whole - F.lit(1e-9)).select(later).distinct(), "verified")
     unstored(sets, places)
     return found
 
@@ -339,51 +363,50 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = plain_text(docs, text_col)
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__doc"), text.alias("__text"))
     lines = stored(_lines(rows, _counts(rows, COUNT_BITS), threshold).withColumn("row", F.monotonically_increasing_id()), "lines")
-    at = ("none", "__id", "__doc", "line")
     heads = lines.groupBy("c0", "c1").agg(
-        F.min(F.struct(F.col("__id").isNull().alias("none"), *at[1:])).alias("at"),
+        F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__doc", "line")).alias("at"),
         F.count(F.lit(1)).alias("rows"),
         F.min(F.when(F.col("n").isNotNull(), F.col("row"))).alias("row"),
+        F.count("n").alias("given"),
     )
-    heads = heads.select("c0", "c1", "at.*", "rows", "row").orderBy(*at).drop("none").withColumn("no", F.monotonically_increasing_id())
-    heads = stored(heads, "heads")  # numbers follow the order of first lines and are fixed from here on
-    # The tokens of a class: once, whatever the number of tasks that have met it.
-    known = lines.where(F.col("n").isNotNull()).select("row", "n", "p0", "p1", "keys", "prefix", "places")
-    known = stored(known.join(heads.select("row", "no"), "row").drop("row"), "classes")
-    slim = stored(lines.select("__id", "__doc", "line", "c0", "c1"), "slim")
-    unstored(lines)
-
-    keyed = known.select("no", "n", "p0", "p1", F.explode("keys").alias("key"))
-    least = {x: F.min_by(x, "no").alias(f"b_{x}") for x in ("n", "p0", "p1")}  # of numbers, so these aggregate by hash
-    leaders = keyed.groupBy("key").agg(F.min("no").alias("other"), *least.values(), F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = keyed.join(leaders, "key").where(F.col("no") != F.col("other"))
+    heads = stored(heads.select("c0", "c1", "at.__id", "at.__doc", "at.line", "rows", "row", "given"), "heads")
+    # The tokens of a class: once, whatever the number of tasks that have met it.  Its name is the row that has them.
+    repeated = heads.where("given > 1").select("c0", "c1", F.col("row").alias("own"))
+    known = lines.where(F.col("n").isNotNull()).join(_few(repeated), ["c0", "c1"], "left").where("own is null or own = row")
+
+    keyed = known.select("row", "n", "p0", "p1", F.explode("keys").alias("key"))
+    least = {x: F.min_by(x, "row").alias(f"b_{x}") for x in ("n", "p0", "p1")}  # of numbers, so these aggregate by hash
+    leaders = keyed.groupBy("key").agg(F.min("row").alias("other"), *least.values(), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = keyed.join(leaders, "key").where(F.col("row") != F.col("other"))
     met = met.where(_may_match({x: F.col(x) for x in least}, {x: F.col(f"b_{x}") for x in least}, threshold, places=False))
-    led = stored(met.select("no", "other").distinct(), "led")
+    led = _near_enough(stored(met.select("row", "other").distinct(), "led"), known, threshold)
     settled = _verified(led, heads, rows, threshold)
 
     # One number holds n, the place and whether the class is still open, so that both sides of the join read one shuffle.
-    few = F.broadcast if settled.count() <= FEW else (lambda x: x)
-    marked = known.join(few(settled.withColumn("settled", F.lit(1))), "no", "left")
-    postings = marked.select("no", "n", "p0", "p1", F.col("settled").isNull().cast("long").alias("open"), F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("places").alias("i"))))
+    marked = known.join(_few(settled.withColumn("settled", F.lit(1))), "row", "left")
+    postings = marked.select("row", "n", "p0", "p1", F.col("settled").isNull().cast("long").alias("open"), F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("places").alias("i"))))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open"))
-    postings = postings.select("token", "no", packed.alias("packed"), "p0", "p1")
+    postings = postings.select("token", "row", packed.alias("packed"), "p0", "p1")
 
     def side(name: str) -> dict[str, Column]:
         word = F.col(f"{name}.packed")
         return {"n": F.shiftright(word, 32).cast("int"), "i": F.shiftright(word.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int"), "p0": F.col(f"{name}.p0"), "p1": F.col(f"{name}.p1")}
 
-    # A product, as a condition on one side alone would be pushed below the shuffle, which is then no longer the same.
-    earlier = (F.col("a.token") == F.col("b.token")) & (F.col("b.no") < F.col("a.no") * F.col("a.packed").bitwiseAND(F.lit(1)))
-    met = postings.alias("a").join(postings.alias("b").hint("merge"), earlier & _may_match(side("a"), side("b"), threshold))
-    met = met.select(F.col("a.no").alias("no"), F.col("b.no").alias("other")).distinct()
-    met = stored(met.join(led, ["no", "other"], "left_anti"), "met")
-    unstored(known, led)
+    # Conditions on one side alone would be pushed below the shuffle, which is then no longer the same for both.
+    once = (F.col("a.token") == F.col("b.token")) & (F.col("b.row") < F.col("a.row"))
+    either = F.col("a.packed").bitwiseOR(F.col("b.packed")).bitwiseAND(F.lit(1)) == 1
+    met = postings.alias("a").join(postings.alias("b").hint("merge"), once & either & _may_match(side("a"), side("b"), threshold))
+    met = met.select(F.col("a.row").alias("row"), F.col("b.row").alias("other")).distinct()
+    met = stored(met.join(led, ["row", "other"], "left_anti"), "met")
+    met = _near_enough(met, known, threshold)
+    slim = stored(lines.select("__id", "__doc", "line", "c0", "c1"), "slim")
+    unstored(lines, led)
     gone = settled.union(_verified(met, heads, rows, threshold)).distinct().withColumn("gone", F.lit(True))
     unstored(met)
-    marked = heads.join(gone, "no", "left").where((F.col("rows") > 1) | F.col("gone"))
-    marked = marked.select("c0", "c1", F.col("__id").alias("h_id"), F.col("__doc").alias("h_doc"), F.col("line").alias("h_line"), "rows", F.coalesce("gone", F.lit(False)).alias("gone"))
-    found = lookup(slim, stored(marked, "marked"), ["c0", "c1"], F.col("rows") >= hot_rows(slim.count()))
+    marked = heads.join(_few(gone), "row", "left").where((F.col("rows") > 1) | F.col("gone"))
+    marked = stored(marked.select("c0", "c1", F.col("__id").alias("h_id"), F.col("__doc").alias("h_doc"), F.col("line").alias("h_line"), "rows", F.coalesce("gone", F.lit(False)).alias("gone")), "marked")
     unstored(heads, settled)
+    found = lookup(slim, marked, ["c0", "c1"], F.col("rows") >= hot_rows(slim.count()))
     first = F.col("__id").eqNullSafe(F.col("h_id")) & (F.col("__doc") == F.col("h_doc")) & (F.col("line") == F.col("h_line"))
     return found.where(F.col("rows").isNotNull() & (F.col("gone") | ~first)).groupBy("__id", "__doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
