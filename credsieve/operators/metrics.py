@@ -106,3 +106,50 @@ def category_recall(rows: DataFrame, category: str = "category", hit: str = "hit
     down = Window.orderBy(F.desc("missed"), category)
     every = Window.partitionBy()
     return by.withColumn("missed_so_far", F.try_divide(F.sum("missed").over(down), F.sum("missed").over(every)))
+
+
+def by_rule(found: DataFrame) -> DataFrame:
+    """Findings by rule, most first when ordered by n."""
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top(counts: DataFrame, name: str, n: int) -> DataFrame:
+    """The `n` largest of the counts, ties by name."""
+    return counts.orderBy(F.desc("n"), name).limit(n)
+
+
+#: From the weakest verdict to the strongest.
+STATUS_RANKS = {"false_positive": 1, "unverified": 2, "uncertain": 3, "secret": 4}
+
+
+def best_verdict(judged: DataFrame, unit: str = "file") -> DataFrame:
+    """The strongest verdict of each unit."""
+    rank = F.create_map(*(F.lit(x) for pair in STATUS_RANKS.items() for x in pair))
+    best = judged.groupBy(unit).agg(F.max(F.coalesce(rank[F.col("status")], F.lit(0))).alias("rank"))
+    names = F.create_map(*(F.lit(x) for k, v in STATUS_RANKS.items() for x in (v, k)))
+    return best.select(unit, names[F.col("rank")].alias("status"))
+
+
+def with_probability(found: DataFrame, judged: DataFrame, default: float = 0.0) -> DataFrame:
+    """`found` with the probability that a judge gave to its file and line (the highest, if several)."""
+    given = judged.groupBy("file", "line").agg(F.max("probability").alias("probability"))
+    return found.join(given, ["file", "line"], "left").fillna(default, ["probability"])
+
+
+def set_check(wanted: DataFrame, got: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """How many keys are in both, missing from `got`, and only in `got`."""
+    a = wanted.select(key).distinct().withColumn("a", F.lit(1))
+    b = got.select(key).distinct().withColumn("b", F.lit(1))
+    both = a.join(b, key, "full")
+    return both.agg(
+        F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"),
+        F.count_if(F.col("b").isNull()).alias("missing"),
+        F.count_if(F.col("a").isNull()).alias("unexpected"),
+    )
+
+
+def extension_recall(rows: DataFrame, path: str = "path", hit: str = "hit") -> DataFrame:
+    """Labelled rows, hits and recall by file extension (lower case; empty without one)."""
+    ext = F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)\z", 1))
+    by = rows.groupBy(ext.alias("extension")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
+    return by.withColumn("recall", F.col("hits") / F.col("n"))

@@ -63,6 +63,11 @@ class JudgeOptions:
     send_secret: bool = True
     max_context_lines: int = 3
     cache_path: str = ""
+    # For judges behind an address; a Judge that is passed to the engine reads them.
+    model: str = ""
+    reasoning_effort: str = ""
+    base_url: str = ""
+    api_key_env: str = ""
 
 
 @dataclass

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,11 @@ from credsieve.plans.catalog import RANKS, rules_table
 from credsieve.plans.config import Config
 from credsieve.plans.scan import findings, public, units_of_table
 from credsieve.sources import inputs
+from credsieve.sources.storage import stored
+
+#: The session protocol: its version, the longest frame, and the argument that each tool can't do without.
+PROTOCOL, FRAME_BYTES = "2024-11-05", 10 << 20
+TOOLS = {"scan_text": "content", "scan_file": "path", "verify_finding": "secret"}
 
 
 @dataclass
@@ -22,6 +28,8 @@ class ScanResult:
 
     rows: DataFrame
     seconds: float = 0.0
+    units: DataFrame | None = None
+    settled: bool = False
 
     @property
     def kept(self) -> DataFrame:
@@ -41,8 +49,19 @@ class ScanResult:
         """0 without findings at this severity or above, else 1; stops at the first one."""
         return int(not after.at_least(self.kept, fail_on).isEmpty())
 
-    def report(self, form: str = "text", masked: bool = True, with_suppressed: bool = False, files: int = 0) -> str:
-        return reports.render(self.all(), form, masked, with_suppressed, files, self.seconds)
+    def settle(self) -> ScanResult:
+        """Findings stored, so that whatever is asked next reads neither the corpus nor a judge again."""
+        if not self.settled:
+            self.rows, self.settled = stored(self.rows, "findings"), True
+        return self
+
+    def files(self) -> int:
+        """How many files (or rows) were scanned, by their paths alone."""
+        return self.units.select("path").distinct().count() if self.units is not None else 0
+
+    def report(self, form: str = "text", masked: bool = True, with_suppressed: bool = False, files: int | None = None) -> str:
+        files = self.files() if files is None else files
+        return reports.render(self.settle().all(), form, masked, with_suppressed, files, self.seconds)
 
 
 class Engine:
@@ -55,16 +74,21 @@ class Engine:
         """Detect, collapse, leave out what the baseline knows, judge the rest, set apart what is judged wrong."""
         began = time.monotonic()
         found = after.collapsed(findings(units, self.config))
-        known = None
+        asks = (self.judge is not None or bool(self.config.ai.command)) and self.config.ai.mode != "off"
         if baseline is not None:
-            found, known = after.split_by_baseline(found, baseline)
-        rows = judges.judged(found, self.config, self.judge, ledger)
+            found = after.with_known(found, baseline)
+        if asks:  # what is asked is read several times, and a judge must be asked once
+            found = stored(found, "found")
+        new = found.where("not known").drop("known") if asks and baseline is not None else found
+        rows = judges.judged(new, self.config, self.judge, ledger)
+        rows = stored(rows, "judged") if asks else rows
+        if asks and baseline is not None:
+            rows = rows.withColumn("known", F.lit(False)).unionByName(found.where("known"), allowMissingColumns=True)
         rows = after.partitioned(rows, self.config.ai.filter_false_positives, self.config.ai.min_confidence)
-        if known is not None:
-            none = F.struct(F.lit("unverified").alias("status"), F.lit(0.0).alias("confidence"), F.lit("known").alias("reason"), F.lit("baseline").alias("verifier"))
-            known = known.withColumns({"verdict": none, "suppressed": F.lit(True)})
-            rows = rows.unionByName(known, allowMissingColumns=True)
-        return ScanResult(rows, time.monotonic() - began)
+        if baseline is not None:
+            none = F.struct(F.lit("unverified").alias("status"), F.lit(0.0).cast("double").alias("confidence"), F.lit("known").alias("reason"), F.lit("baseline").alias("verifier"))
+            rows = rows.withColumns({"verdict": F.when(F.col("known"), none).otherwise(F.col("verdict")), "suppressed": F.col("known") | F.col("suppressed")}).drop("known")
+        return ScanResult(rows, time.monotonic() - began, units)
 
     def scan_path(self, path: str, **more: DataFrame) -> ScanResult:
         return self.scan(inputs.file_units(self.spark, path, self.config), **more)
@@ -116,28 +140,58 @@ class Engine:
         return rules_table(self.spark, self.config.active_rules())
 
     def answer(self, frame: str) -> str | None:
-        """One frame of a newline-delimited JSON-RPC session: scan_text, scan_file, verify_finding."""
+        """One frame of a newline-delimited JSON-RPC session; none for notifications."""
+
+        def failed(code: int, message: str, to: object = None) -> str:
+            return json.dumps({"jsonrpc": "2.0", "id": to, "error": {"code": code, "message": message}})
+
         try:
             said = json.loads(frame)
         except ValueError:
-            return json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "parse error"}})
+            return failed(-32700, "parse error")
+        if not isinstance(said, dict):
+            return failed(-32600, "invalid request")
         if "id" not in said:
             return None
-        given = said.get("params", {}).get("arguments", {})
-        tools = {
-            "scan_text": lambda: self._found(self.scan_text(given["content"], given.get("filename") or "<scan_text>")),
-            "scan_file": lambda: self._found(self.scan_path(given["path"])),
-            "verify_finding": lambda: self.verify(given["secret"], given.get("context", ""), given.get("rule_id", "manual")),
-        }
-        tool = tools.get(said.get("params", {}).get("name")) if said.get("method") == "tools/call" else None
-        if said.get("method") == "tools/list":
-            result: object = {"tools": [{"name": x} for x in tools]}
-        elif tool is None:
-            return json.dumps({"jsonrpc": "2.0", "id": said["id"], "error": {"code": -32601, "message": "unknown method or tool"}})
+        method, params = said.get("method"), said.get("params") or {}
+        if method == "initialize":
+            from credsieve import __version__
+
+            result: object = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "credsieve", "version": __version__}}
+        elif method == "ping":
+            result = {}
+        elif method == "tools/list":
+            result = {"tools": [{"name": x, "inputSchema": {"type": "object", "required": [needs]}} for x, needs in TOOLS.items()]}
+        elif method == "tools/call" and isinstance(params, dict) and params.get("name") in TOOLS:
+            name, given = params["name"], params.get("arguments")
+            if not isinstance(given, dict) or not isinstance(given.get(TOOLS[name]), str):
+                return failed(-32602, f"{name} needs {TOOLS[name]}, a string", said["id"])
+            if name == "scan_text":
+                result = self._found(self.scan_text(given["content"], given.get("filename") or "<scan_text>"))
+            elif name == "scan_file":
+                result = self._found(self.scan_path(given["path"]))
+            else:
+                result = self.verify(given["secret"], given.get("context") or "", given.get("rule_id") or "manual")
         else:
-            result = tool()
+            return failed(-32601, "unknown method or tool", said["id"])
         return json.dumps({"jsonrpc": "2.0", "id": said["id"], "result": result})
 
+    def session(self, frames: Iterable[str]) -> Iterator[str]:
+        """Answers to the frames of a session.  A frame beyond FRAME_BYTES is refused, one that fails is answered with
+        the kind of its error, and the session goes on."""
+        for frame in frames:
+            if len(frame) > FRAME_BYTES:
+                yield json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32600, "message": "frame too large"}})
+                continue
+            if not frame.strip():
+                continue
+            try:
+                answer = self.answer(frame)
+            except Exception as error:
+                answer = json.dumps({"jsonrpc": "2.0", "id": json.loads(frame).get("id"), "error": {"code": -32603, "message": type(error).__name__}})
+            if answer is not None:
+                yield answer
+
     @staticmethod
     def _found(result: ScanResult) -> list[dict]:
         return [json.loads(x) for x in result.public().toJSON().collect()]

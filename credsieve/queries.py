@@ -917,6 +917,63 @@ def category_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.category_recall(rows).withColumns({"recall": F.round("recall", 9), "missed_so_far": F.round("missed_so_far", 9)})
 
 
+@query(f"SELECT rule_id, count(*) AS n FROM ({FINDINGS}) GROUP BY rule_id")
+def by_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.by_rule(synthetic_findings(spark, sf_dir))
+
+
+@query(f"SELECT file, count(*) AS n FROM ({FINDINGS}) GROUP BY file ORDER BY n DESC, file LIMIT 10")
+def top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the ten files with most findings."""
+    counts = synthetic_findings(spark, sf_dir).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.top(counts, "file", 10)
+
+
+@query(f"""
+    SELECT file, CASE max(CASE status WHEN 'secret' THEN 4 WHEN 'uncertain' THEN 3 WHEN 'unverified' THEN 2 WHEN 'false_positive' THEN 1 ELSE 0 END)
+        WHEN 4 THEN 'secret' WHEN 3 THEN 'uncertain' WHEN 2 THEN 'unverified' WHEN 1 THEN 'false_positive' END AS status FROM ({_VERDICT}) GROUP BY file
+""")
+def best_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.best_verdict(_judged(spark, sf_dir).select("file", F.col("verdict.status").alias("status")))
+
+
+@query(f"""
+    WITH f AS (SELECT file, line, count(*) AS n FROM ({FINDINGS}) GROUP BY ALL), j AS (SELECT file, line, max(l_discount) AS probability FROM (SELECT f.*, entropy - 0.82 AS l_discount FROM ({FINDINGS}) f WHERE rule_id = 'aws-access-key-id') GROUP BY ALL)
+    SELECT file, line, n, round(coalesce(probability, 0), 6) AS probability FROM f LEFT JOIN j USING (file, line)
+""")
+def judge_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = synthetic_findings(spark, sf_dir)
+    judged = found.where("rule_id = 'aws-access-key-id'").select("file", "line", (F.col("entropy") - 0.82).alias("probability"))
+    rows = metrics.with_probability(found.groupBy("file", "line").agg(F.count(F.lit(1)).alias("n")), judged)
+    return rows.select("file", "line", "n", F.round("probability", 6).alias("probability"))
+
+
+@query(f"""
+    WITH f AS (SELECT DISTINCT {sql_fingerprint('rule_id', 'file', 'secret')} AS fingerprint, rule_id FROM ({FINDINGS})), a AS (SELECT DISTINCT fingerprint FROM f WHERE rule_id <> 'aws-access-key-id'), b AS (SELECT DISTINCT fingerprint FROM f WHERE rule_id <> 'postgres-connection-uri')
+    SELECT count(*) FILTER (a.fingerprint = b.fingerprint) AS both, count(*) FILTER (b.fingerprint IS NULL) AS missing, count(*) FILTER (a.fingerprint IS NULL) AS unexpected FROM a FULL JOIN b ON a.fingerprint = b.fingerprint
+""")
+def sampled_and_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the judged fingerprints are the sampled ones: here each side lacks the findings of one rule."""
+    found = synthetic_findings(spark, sf_dir)
+    return metrics.set_check(found.where("rule_id <> 'aws-access-key-id'"), found.where("rule_id <> 'postgres-connection-uri'"))
+
+
+@query(f"SELECT lower(regexp_extract(path, '[^/]\\.([^./]*)$', 1)) AS extension, count(*) AS n, count(*) FILTER (o % 3 = 0) AS hits, round(count(*) FILTER (o % 3 = 0) / count(*), 9) AS recall FROM ({PATHS}) GROUP BY 1")
+def extension_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, PATHS).select("path", (F.col("o") % 3 == 0).alias("hit"))
+    return metrics.extension_recall(rows).withColumn("recall", F.round("recall", 9))
+
+
+@query(f"SELECT rule_id, round(avg(entropy), 9) AS mean FROM ({FINDINGS}) GROUP BY rule_id")
+def mean_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic_findings(spark, sf_dir).groupBy("rule_id").agg(F.round(F.avg("entropy"), 9).alias("mean"))
+
+
+@query(f"SELECT {sql_charset('v')} AS charset, count(*) AS n FROM ({VALUES}) GROUP BY 1")
+def charset_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, VALUES).groupBy(X.charset_class(F.col("v")).alias("charset")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("v"))
