@@ -43,7 +43,7 @@ from credsieve.llm.common import hot_rows, lookup, plain_text, ship_package, sto
 
 THRESHOLD, COUNT_BITS, BLOOM_BITS = 0.8, 24, 27
 #: Classes a worker remembers, so that it gives out the tokens of a repeated line once.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Bytes of text that are hashed at once, counters of a page, rows of numbers that are broadcast at most.
 BLOCK, PAGE, FEW = 1 << 18, 1 << 14, 1 << 20
 

@@ -39,7 +39,7 @@ from credsieve.llm.quality import fold, labelled_sample
 __all__ = ["fit", "fold", "restored_words", "scores"]
 
 #: Labelled rows of each label to fit on, entries of the lexicon, words a worker remembers and their characters at most.
-SAMPLE, LEXICON, REMEMBERED, KEPT = 3000, 4000, 400_000, 64
+SAMPLE, LEXICON, REMEMBERED, KEPT = 3000, 4000, 200_000, 64
 BEGINNINGS = (3, 4, 5, 6)
 
 #: What a look-alike may stand for.
@@ -177,7 +177,7 @@ class _Short(dict):
     def __missing__(self, piece: str) -> int:
         found = int(len(piece) <= SHORT or bool(_DOUBLE.search(piece)) and len(skeleton(piece)) <= SHORT)
         if len(piece) <= KEPT:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 4:
                 self.clear()
             self[piece] = found
         return found
