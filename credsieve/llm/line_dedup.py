@@ -84,7 +84,9 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         edge = np.flatnonzero(np.diff(_SPACE[block], prepend=True, append=True))
         first, end = edge[::2], edge[1::2]
         sums = np.zeros(len(block) + 1, U)
-        np.cumsum((block + U(1)) * _UP[: len(block)], out=sums[1:])
+        terms = np.add(block, U(1), out=sums[1:])
+        terms *= _UP[: len(block)]
+        np.cumsum(terms, out=terms)
         hashes.append(mixed((sums[end] - sums[first]) * _DOWN[first]))
         starts.append(first + begin)
         begin = stop
@@ -99,7 +101,7 @@ def _ordered(owner: np.ndarray, *keys: tuple[np.ndarray, int]) -> np.ndarray:
         take = min(room, bits)
         room -= take
         packed |= (values >> U(bits - take)) << U(room)
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     tied = np.flatnonzero(packed[order[1:]] == packed[order[:-1]])
     last = keys[-1][0]
     if (last[order[tied + 1]] != last[order[tied]]).any():
@@ -112,7 +114,8 @@ def line_sets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, found = hashed_words(data)
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == _NEWLINE)
     line = np.searchsorted(breaks, at)
-    places, owner = np.unique(line, return_inverse=True)
+    new = np.diff(line, prepend=-1) != 0  # words come in order of lines
+    places, owner = line[new], np.cumsum(new) - 1
     if len(places) >= 1 << 20:
         order = np.lexsort((found, owner))
     else:
@@ -190,7 +193,8 @@ def _counts(rows: DataFrame, bits: int) -> np.ndarray:
 
 def _lines(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
     """Each line with words: __id, __doc, line, c0 and c1 (its class); the first of a class in a worker also has n (its
-    tokens), p0 and p1 (parities), q0 to q3 (more of them), keys, prefix (tokens) and places (theirs)."""
+    tokens), p0 and p1 (parities), q0 to q3 (more of them), k0 to k2 (keys), lone (how many tokens occur once; they come
+    first) and prefix (the tokens from place `lone` on)."""
     sent = rows.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +225,7 @@ def _lines(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
                 cells = [batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), *(pa.array(x.view(np.int64)) for x in (c0, c1))]
                 yield pa.RecordBatch.from_arrays([*cells, *_payload(found, begin, n, fresh, table, shift, threshold)], names=schema.names)
 
-    more = "n int, p0 long, p1 long, q0 long, q1 long, q2 long, q3 long, keys array<bigint>, prefix array<bigint>, places array<int>"
+    more = "n int, p0 long, p1 long, q0 long, q1 long, q2 long, q3 long, k0 long, k1 long, k2 long, lone int, prefix array<bigint>"
     schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("line int, c0 long, c1 long, " + more).fields])
     return rows.mapInArrow(work, schema)
 
@@ -236,7 +240,7 @@ def _upto(texts: list[bytes], data: bytes) -> int:
 
 
 def _payload(found: np.ndarray, begin: np.ndarray, n: np.ndarray, fresh: np.ndarray, table: np.ndarray, shift: np.uint64, threshold: float) -> list[pa.Array]:
-    """n, p0 to q3, keys, prefix and places of the lines that are `fresh`; null for others."""
+    """n, p0 to q3, k0 to k2, lone and prefix of the lines that are `fresh`; null for others."""
     none = ~fresh
     bit = U(1) << (found & U(63))
     parts = [(found >> U(6)) & U(1) == k for k in (0, 1)] + [(found >> U(7)) & U(3) == k for k in range(4)]
@@ -246,7 +250,6 @@ def _payload(found: np.ndarray, begin: np.ndarray, n: np.ndarray, fresh: np.ndar
     for turn in (0, 21, 42):
         turned = (found << U(turn)) | (found >> U(64 - turn)) if turn else found
         keys.append(mixed(np.minimum.reduceat(turned, begin) ^ mixed(np.maximum.reduceat(turned, begin))))
-    keys = np.stack(keys, axis=1)[fresh].ravel()
     kept = np.repeat(fresh, n)
     tokens, sizes = found[kept], n[fresh]
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -254,20 +257,19 @@ def _payload(found: np.ndarray, begin: np.ndarray, n: np.ndarray, fresh: np.ndar
     wide = len(sizes) >= 1 << 20
     order = np.lexsort((tokens, rare, owner)) if wide else _ordered(owner, (rare.astype(U), 8), (tokens, 64))
     rank = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    use = (rank < np.repeat(prefix_size(sizes, threshold), sizes)) & (rare[order] != 1)
+    once = rare[order] == 1
+    use = (rank < np.repeat(prefix_size(sizes, threshold), sizes)) & ~once
     ends = np.concatenate(([0], np.cumsum(np.bincount(owner[use], minlength=len(sizes)))))
-
-    def spread(offsets: np.ndarray, values: pa.Array) -> pa.Array:
-        """Lists for the fresh lines, null for the rest."""
-        where = np.concatenate(([0], np.cumsum(fresh)))
-        return pa.ListArray.from_arrays(pa.array(offsets[where].astype(np.int32), mask=np.concatenate((none, [False]))), values)
-
+    where = np.concatenate(([0], np.cumsum(fresh)))
+    lone = np.zeros(len(n), np.int32)
+    lone[fresh] = np.bincount(owner[once], minlength=len(sizes))
+    lists = pa.array(ends[where].astype(np.int32), mask=np.concatenate((none, [False])))  # null where not fresh
     return [
         pa.array(n.astype(np.int32), mask=none),
         *(pa.array(x.view(np.int64), mask=none) for x in parities),
-        spread(3 * np.arange(len(sizes) + 1), pa.array(keys.view(np.int64))),
-        spread(ends, pa.array(tokens[order][use].view(np.int64))),
-        spread(ends, pa.array(rank[use].astype(np.int32))),
+        *(pa.array(x.view(np.int64), mask=none) for x in keys),
+        pa.array(lone, mask=none),
+        pa.ListArray.from_arrays(lists, pa.array(tokens[order][use].view(np.int64))),
     ]
 
 
@@ -330,17 +332,22 @@ def _verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame, threshold: fl
             docs = batch.column(1).to_numpy().view(U)
             hit = np.flatnonzero(there((docs << U(20)) >> U(64 - bits)))
             texts = batch.column(2).take(pa.array(hit, pa.int64())).cast(pa.binary()).to_pylist()
-            owner, line, sets = [], [], []
+            owner, line, asked = [], [], []
             for k, text in zip(hit.tolist(), texts, strict=True):
                 lines = text.split(b"\n")
                 key = docs[k] ^ (np.arange(len(lines), dtype=U) << U(44))
                 for x in np.flatnonzero(there(key >> U(64 - bits))).tolist():
                     owner.append(k)
                     line.append(x)
-                    sets.append(np.unique(hashed_words(lines[x].lower())[1]).view(np.int64))
+                    asked.append(lines[x])
+            sets, sizes = [np.zeros(0, U)], np.zeros(len(asked), np.int64)
+            for first, data in _blocks(asked):
+                at, begin, tokens = line_sets(data)
+                sizes[first + at] = np.diff(begin)
+                sets.append(tokens)
             take = pa.array(owner, pa.int64())
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), found], names=schema.names)
 
     schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("line int, tokens array<bigint>").fields])
@@ -374,7 +381,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = heads.where("given > 1").select("c0", "c1", F.col("row").alias("own"))
     known = lines.where(F.col("n").isNotNull()).join(_few(repeated), ["c0", "c1"], "left").where("own is null or own = row")
 
-    keyed = known.select("row", "n", "p0", "p1", F.explode("keys").alias("key"))
+    keyed = known.select("row", "n", "p0", "p1", F.explode(F.array("k0", "k1", "k2")).alias("key"))
     least = {x: F.min_by(x, "row").alias(f"b_{x}") for x in ("n", "p0", "p1")}  # of numbers, so these aggregate by hash
     leaders = keyed.groupBy("key").agg(F.min("row").alias("other"), *least.values(), F.count(F.lit(1)).alias("k")).where("k > 1")
     met = keyed.join(leaders, "key").where(F.col("row") != F.col("other"))
@@ -384,8 +391,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # One number holds n, the place and whether the class is still open, so that both sides of the join read one shuffle.
     marked = known.join(_few(settled.withColumn("settled", F.lit(1))), "row", "left")
-    postings = marked.select("row", "n", "p0", "p1", F.col("settled").isNull().cast("long").alias("open"), F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("places").alias("i"))))
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open"))
+    postings = marked.select("row", "n", "p0", "p1", "lone", F.col("settled").isNull().cast("long").alias("open"), F.posexplode("prefix").alias("i", "token"))
+    place = F.shiftleft((F.col("i") + F.col("lone")).cast("long"), 1)
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(place).bitwiseOR(F.col("open"))
     postings = postings.select("token", "row", packed.alias("packed"), "p0", "p1")
 
     def side(name: str) -> dict[str, Column]:
@@ -399,21 +407,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = met.select(F.col("a.row").alias("row"), F.col("b.row").alias("other")).distinct()
     met = stored(met.join(led, ["row", "other"], "left_anti"), "met")
     met = _near_enough(met, known, threshold)
-    slim = stored(lines.select("__id", "__doc", "line", "c0", "c1"), "slim")
-    unstored(lines, led)
+    unstored(led)
     gone = settled.union(_verified(met, heads, rows, threshold)).distinct().withColumn("gone", F.lit(True))
     unstored(met)
     marked = heads.join(_few(gone), "row", "left").where((F.col("rows") > 1) | F.col("gone"))
     marked = stored(marked.select("c0", "c1", F.col("__id").alias("h_id"), F.col("__doc").alias("h_doc"), F.col("line").alias("h_line"), "rows", F.coalesce("gone", F.lit(False)).alias("gone")), "marked")
     unstored(heads, settled)
+    slim = lines.select("__id", "__doc", "line", "c0", "c1")
     found = lookup(slim, marked, ["c0", "c1"], F.col("rows") >= hot_rows(slim.count()))
     first = F.col("__id").eqNullSafe(F.col("h_id")) & (F.col("__doc") == F.col("h_doc")) & (F.col("line") == F.col("h_line"))
-    return found.where(F.col("rows").isNotNull() & (F.col("gone") | ~first)).groupBy("__id", "__doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    found = found.where(F.col("rows").isNotNull() & (F.col("gone") | ~first)).groupBy("__id", "__doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    found = stored(found, "removed")
+    unstored(lines, marked)
+    return found
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with the text that is left, and n_lines, n_removed and removed (places from 0, in order)."""
-    gone = stored(removed_lines(docs, id_col, text_col, threshold), "removed")
+    gone = removed_lines(docs, id_col, text_col, threshold)
     size = gone.agg(F.sum(4 + F.size("removed"))).first()[0] or 0
     few = F.broadcast if size <= 4 * FEW else (lambda x: x)  # else texts shuffle to their lists
     gone = gone.select(F.col("__id").alias("__gone_id"), F.col("__doc").alias("__gone_doc"), "removed")
